@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe
+from kvlake.llm import bpe, rules
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -12,3 +12,10 @@ ORACLES: dict[str, str] = {}
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).drop("max_cover_percent")
+
+
+ORACLES["op10_rules"] = rules.ORACLE
