@@ -11,7 +11,8 @@ the characters in words, is exceeded:
 * n = 5 to 10: words covered by an occurrence of an n-gram after its first
   (judged where they are MIN_COVERED words or more: a heading or notice said
   twice in a short text is no pattern of repetition);
-* words in lines equal to an earlier line, and the share of such lines.
+* words in lines equal to an earlier line, and the share of such lines
+  (judged where there are MIN_DUP_LINES or more).
 
 All comparisons are of integers, so ties at a limit are kept, on every engine
 alike. Defined cases: a null or empty text has zero counts and fails the base
@@ -31,7 +32,7 @@ from kvlake.llm.common import Rolling, map_batches, mix
 #: Percent of the characters in words; fixed values of published repetition rules.
 TOP_LIMITS = {2: 20, 3: 18, 4: 16}
 COVER_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-MIN_COVERED = 30
+MIN_COVERED, MIN_DUP_LINES = 30, 3
 DUP_LINE_LIMIT, DUP_LINE_CHARS_LIMIT = 30, 20
 SYMBOLS = "#*$%&|<>"
 
@@ -114,7 +115,8 @@ def measure(text: str | None) -> tuple:
             held, limit = int(chars[inside].sum()), COVER_LIMITS[k] if inside.sum() >= MIN_COVERED else 100
         over |= 100 * held > limit * total
         worst = max(worst, 100.0 * held / total)
-    over |= 100 * dup_lines > DUP_LINE_LIMIT * lines or 100 * dup_line_chars > DUP_LINE_CHARS_LIMIT * total
+    if dup_lines >= MIN_DUP_LINES:
+        over |= 100 * dup_lines > DUP_LINE_LIMIT * lines or 100 * dup_line_chars > DUP_LINE_CHARS_LIMIT * total
     failed = n < 50 or 100 * repeat_words > 50 * n
     return n, total, symbols, dup_lines, repeat_words, failed, not failed and not over, worst
 
@@ -167,8 +169,8 @@ s as (
   select d.doc_id, coalesce(b.n, 0) as n_words, coalesce(b.total, 0)::bigint as word_chars,
          length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
          coalesce(ln.dups, 0)::bigint as n_dup_lines, coalesce(rep.repeat_words, 0)::bigint as n_repeat_words,
-         bad.r is not null or 100 * coalesce(ln.dups, 0) > 30 * coalesce(ln.lines, 0)
-           or 100 * coalesce(ln.dup_chars, 0) > 20 * coalesce(b.total, 0) as over_limit
+         bad.r is not null or coalesce(ln.dups, 0) >= 3 and (100 * ln.dups > 30 * ln.lines
+           or 100 * ln.dup_chars > 20 * coalesce(b.total, 0)) as over_limit
   from d left join base b using (r) left join ln using (r) left join rep using (r) left join bad using (r))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,

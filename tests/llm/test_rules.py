@@ -16,7 +16,7 @@ def brute(text):
     grams = {n: [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] for n in range(2, 11)}
     counts = {n: Counter(g) for n, g in grams.items()}
     repeat = len({j for i, g in enumerate(grams[3]) if counts[3][g] > 1 for j in range(i, i + 3)})
-    over = 100 * len(dups) > 30 * len(lines) or 100 * sum(len("".join(WORD.findall(x))) for x in dups) > 20 * total
+    over = len(dups) >= 3 and (100 * len(dups) > 30 * len(lines) or 100 * sum(len("".join(WORD.findall(x))) for x in dups) > 20 * total)
     for n in range(2, 5):
         over |= any(100 * c * len("".join(g)) > rules.TOP_LIMITS[n] * total for g, c in counts[n].items() if c > 1)
     for n in range(5, 11):
