@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, rules
+from kvlake.llm import bpe, pii, rules
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -19,3 +19,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_rules"] = rules.ORACLE
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
