@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, pii, rules
+from kvlake.llm import bpe, html, pii, rules
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -23,3 +23,7 @@ ORACLES["op10_rules"] = rules.ORACLE
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages"))
