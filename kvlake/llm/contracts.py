@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, html, langid, pii, rules, warc
+from kvlake.llm import bpe, html, langid, pii, quality, rules, warc
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
