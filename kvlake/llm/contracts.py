@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, html, langid, pii, quality, rules, warc
+from kvlake.llm import bpe, html, langid, pii, quality, rules, substrings, warc
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_substrings"] = substrings.ORACLE
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
