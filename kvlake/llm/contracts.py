@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, html, langid, pii, quality, rules, substrings, warc
+from kvlake.llm import bpe, html, jaccard, langid, pii, quality, rules, substrings, warc
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_jaccard"] = jaccard.ORACLE
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("max_cover_percent")
 
