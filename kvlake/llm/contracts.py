@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kvlake.llm import bpe, html, jaccard, langid, pii, quality, rules, substrings, warc
+from kvlake.llm import bpe, decontam, html, jaccard, langid, pii, quality, rules, substrings, warc
 from kvlake.llm.common import table
 
 ORACLES: dict[str, str] = {}
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
