@@ -16,6 +16,8 @@ for, so relations between sets let most pairs be skipped without loss:
    needed, or when all of it lies in the set's own component. Pairs that remain
    are verified on whole sets and joined.
 
+Candidates first meet by parity sketches of about two bits a shingle, whose
+distance never exceeds the sets' difference, so what they rule out is no link.
 Verification sends the text of one side once to each bucket that holds partners.
 There the overlaps of a set with similar partners are derived one from the next,
 from the few shingles in which the partners differ.
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm import blobs
-from kvlake.llm.common import Rolling, WordHashes, map_batches, mix, shared_folder
+from kvlake.llm.common import Rolling, map_batches, mix, shared_folder
 from kvlake.llm.graph import components
 from kvlake.shipping import ship_package
 
@@ -46,15 +48,74 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(31).integers(1, 1 << 63, MINS, np.uint64)
 
 
-def shingles(words: WordHashes, text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    prefix = _ROLL.prefix(words.of(parts))
-    return np.unique(_ROLL.windows(prefix, min(K, len(parts))) ^ np.uint64(min(K, len(parts)) * 0x9E3779B9))
+_BYTES = np.random.default_rng(37).integers(1, 1 << 63, 256, np.uint64)
+_BYTE_ROLL = Rolling()
+GROUP_CHARS, GROUP_TEXTS = 1_500_000, 60_000
+
+
+def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about GROUP_CHARS characters."""
+    start = 0
+    while start < len(texts):
+        end, chars = start, 0
+        while end < len(texts) and end - start < GROUP_TEXTS and (chars < GROUP_CHARS or end == start):
+            chars += len(texts[end] or "")
+            end += 1
+        yield start, end
+        start = end
+
+
+def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of every text, one after another, and how many each has."""
+    raws = [(x or "").encode("utf-8", "surrogatepass").translate(_LOWER) for x in texts]
+    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    prefix = _BYTE_ROLL.prefix(_BYTES[data])
+    words = mix(((prefix[end] - prefix[start]) * _BYTE_ROLL.up[start]) ^ mix((end - start).astype(np.uint64)))
+    owner = np.searchsorted(ends, start, "left")
+    counts = np.bincount(owner, minlength=len(texts))
+    if not len(words):
+        return np.zeros(0, np.uint64), counts
+    last = np.cumsum(counts)[owner]  # where the text of each word ends
+    prefix = _ROLL.prefix(words)
+    at = np.arange(len(words))
+    whole = at + K <= last
+    short = (counts[owner] < K) & (at == last - counts[owner])
+    width = np.where(whole, K, np.where(short, last - at, 0))
+    use = np.flatnonzero(width)
+    h = mix((prefix[use + width[use]] - prefix[use]) * _ROLL.up[use]) ^ (width[use].astype(np.uint64) * np.uint64(0x9E3779B9))
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(owner[use][order].astype(np.uint16), kind="stable")]
+    h, of = h[order], owner[use][order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    return h[new], np.bincount(of[new], minlength=len(texts))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return shingle_sets([text])[0]
+
+
+SKETCH_SHARE = 2  # bits of a parity sketch for each shingle, in steps that both sides of a pair can fold to
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of a power of two of slots: sets that differ in d shingles differ in d slots at most."""
+    bits = max(64, 1 << int(SKETCH_SHARE * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of shingles in which two sets differ; the longer sketch is folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) > len(b):
+        a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -66,22 +127,52 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-(PERCENT * (a + b)) // (100 + PERCENT))
 
 
-SIGNS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), *[(f"m{k}", pa.int64()) for k in range(MINS)]])
+SIGNS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), *[(f"m{k}", pa.int64()) for k in range(MINS)], ("sketch", pa.binary())])
+SIGNS_DDL = "doc_id bigint, n bigint, s1 bigint, s2 bigint, " + ", ".join(f"m{k} bigint" for k in range(MINS)) + ", sketch binary"
+COUNTS_ROW, LEAST_SEEN = -1, 8
 
 
 def _signs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHashes()
+    """Sizes, identities, minima and sketches of sets; and rows (n = COUNTS_ROW) with tokens seen in LEAST_SEEN texts or more."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= LEAST_SEEN
+        blob = token[some].astype("<u8").tobytes() + n[some].astype("<i8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([COUNTS_ROW], pa.int64()), *[pa.array([0], pa.int64())] * (2 + MINS), pa.array([blob], pa.binary())], schema=SIGNS)
+
     for part in parts:
-        rows = []
-        for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            s = shingles(words, text)
-            if len(s):
-                other = mix(s ^ np.uint64(0x5851F42D4C957F2D))
-                rows.append((i, len(s), np.bitwise_xor.reduce(mix(s)), other.sum(dtype=np.uint64), *[mix(s ^ k).min() for k in _SEEDS]))
-            else:
-                rows.append((i, 0, *[np.uint64(0)] * (2 + MINS)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(SIGNS)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[2:]]], schema=SIGNS)
+        texts = part.column(1).to_pylist()
+        for a, b in groups(texts):
+            h, counts = shingle_sets(texts[a:b])
+            held.append(h)
+            size += len(h)
+            some = np.flatnonzero(counts)
+            cols = [np.zeros(b - a, np.uint64) for _ in range(2 + MINS)]
+            ends = np.cumsum(counts)
+            if len(some):
+                first = (ends - counts)[some]
+                cols[0][some] = np.bitwise_xor.reduceat(mix(h), first)
+                cols[1][some] = np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), first)
+                for k, seed in enumerate(_SEEDS):
+                    cols[2 + k][some] = np.minimum.reduceat(mix(h ^ seed), first)
+            sketches = [sketch(h[e - n : e]).tobytes() if n else b"" for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *[pa.array(c.view(np.int64)) for c in cols], pa.array(sketches, pa.binary())], schema=SIGNS)
+            if size > 4_000_000:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
+
+
+def _token_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+    for part in parts:
+        for blob in part.column(0).to_pylist():
+            half = len(blob) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(blob[:half], "<i8")), pa.array(np.frombuffer(blob[half:], "<i8"))], schema=schema)
 
 
 def _group_leaders(keys: np.ndarray):
@@ -128,27 +219,57 @@ def _pair_rows(pairs: np.ndarray, keys: np.ndarray, n: int) -> Iterator[tuple]:
 
 TEXTS = pa.schema([("bucket", pa.int32()), ("lead", pa.int64()), ("text", pa.string()), ("members", pa.binary())])
 TEXTS_DDL = "bucket int, lead bigint, text string, members binary"
+SENT = pa.schema([("bucket", pa.int32()), ("lead", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary())])
+SENT_DDL = "bucket int, lead bigint, n bigint, sketch binary, members binary"
+
+
+def _pairs_of(pairs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lead = np.concatenate([np.cumsum(np.frombuffer(x, "<i8")) for x in pairs.column("docs").to_pylist()])
+    return lead, np.concatenate([np.frombuffer(x, "<i8") for x in pairs.column("hash").to_pylist()])
 
 
-def _send_texts(keys: np.ndarray):
-    """Documents of one bucket meet the pairs they lead: each text goes once to each bucket with partners."""
+def _send(keys: np.ndarray, columns: list[str], schema: pa.Schema):
+    """Rows of one bucket meet the pairs they lead: what ``columns`` holds goes once to each bucket with partners."""
     n = len(keys)
 
     def run(key, docs: pa.Table, pairs: pa.Table) -> pa.Table:
         if not pairs.num_rows or not docs.num_rows:
-            return TEXTS.empty_table()
-        lead = np.concatenate([np.cumsum(np.frombuffer(x, "<i8")) for x in pairs.column("docs").to_pylist()])
-        member = np.concatenate([np.frombuffer(x, "<i8") for x in pairs.column("hash").to_pylist()])
+            return schema.empty_table()
+        lead, member = _pairs_of(pairs)
         both = np.unique(np.stack([lead, blobs.doc_bucket(member, n), member]), axis=1)
-        texts: dict[int, list] = {}
-        for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            texts.setdefault(i, []).append(text)
+        own: dict[int, list] = {}
+        for i, *row in zip(*(docs.column(c).to_pylist() for c in ("doc_id", *columns)), strict=True):
+            own.setdefault(i, []).append(row)
         edge = np.flatnonzero((both[:2, 1:] != both[:2, :-1]).any(axis=0)) + 1
         rows = []
         for part in np.split(both, edge, axis=1):
-            for text in texts.get(int(part[0, 0]), ()):
-                rows.append((int(keys[part[1, 0]]), int(part[0, 0]), text, part[2].astype("<i8").tobytes()))
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, TEXTS, strict=True)], schema=TEXTS)
+            for row in own.get(int(part[0, 0]), ()):
+                rows.append((int(keys[part[1, 0]]), int(part[0, 0]), *row, part[2].astype("<i8").tobytes()))
+        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _sift(keys: np.ndarray):
+    """Pairs whose sketches rule out the similarity go; the others are returned to the bucket of the first side."""
+    n = len(keys)
+
+    def run(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
+        if not sent.num_rows or not docs.num_rows:
+            return blobs.SCHEMA.empty_table()
+        own: dict[int, list] = {}
+        for i, size, raw in zip(docs.column("doc_id").to_pylist(), docs.column("n").to_pylist(), docs.column("sketch").to_pylist(), strict=True):
+            own.setdefault(i, []).append((size, np.frombuffer(raw, np.uint8)))
+        out = []
+        for lead, size, raw, xs in zip(*(sent.column(c).to_pylist() for c in ("lead", "n", "sketch", "members")), strict=True):
+            a = np.frombuffer(raw, np.uint8)
+            for x in np.frombuffer(xs, "<i8").tolist():
+                # similarity needs |A ^ B| <= (100 - PERCENT) / (100 + PERCENT) * (|A| + |B|)
+                if any((100 + PERCENT) * sketch_distance(a, b) <= (100 - PERCENT) * (size + m) for m, b in own.get(x, ())):
+                    out.append((lead, x))
+        if not out:
+            return blobs.SCHEMA.empty_table()
+        return pa.Table.from_batches([blobs.batch(list(_pair_rows(np.unique(np.array(out, np.int64).T, axis=1), keys, n)))])
 
     return run
 
@@ -171,13 +292,13 @@ def _verify(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
     where: dict[int, list[int]] = {}
     for k, i in enumerate(docs.column("doc_id").to_pylist()):
         where.setdefault(i, []).append(k)
-    texts, words = docs.column("text"), WordHashes()
+    texts = docs.column("text")
     sets: dict[int, np.ndarray] = {}
     changes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def set_of(k: int) -> np.ndarray:
         if k not in sets:
-            sets[k] = shingles(words, texts[k].as_py())
+            sets[k] = shingles(texts[k].as_py())
         return sets[k]
 
     uses: dict[int, int] = {}
@@ -187,7 +308,7 @@ def _verify(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
             uses[x] = uses.get(x, 0) + 1
     out = []
     for lead, text, xs in zip(sent.column("lead").to_pylist(), sent.column("text").to_pylist(), members, strict=True):
-        own = shingles(words, text)
+        own = shingles(text)
         known, before, common = -1, None, 0
         for x in xs.tolist():
             for k in where.get(x, ()):
@@ -207,51 +328,30 @@ def _verify(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=LINKS)
 
 
-def _frequent(least: int):
-    """Tokens that one task sees in ``least`` documents or more, with the number."""
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        some = n >= least
-        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(n[some].astype(np.int64))], schema=schema)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = WordHashes(), [], 0
-        for part in parts:
-            for text in part.column(0).to_pylist():
-                held.append(shingles(words, text))
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return run
-
-
 def _postings(keys: np.ndarray, frequent):
     """Documents of one bucket meet their components: prefixes for the buckets of tokens."""
     n = len(keys)
 
     def run(key, docs: pa.Table, labels: pa.Table) -> pa.Table:
-        tokens, counts = frequent.value
+        tokens, counts_of = frequent.value
         comp = dict(zip(labels.column("id").to_pylist(), labels.column("component").to_pylist(), strict=True))
-        words = WordHashes()
+        ids, texts = docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()
+        use = [k for k, i in enumerate(ids) if i in comp]  # another document of its class stands for the others
+        ids, texts = [ids[k] for k in use], [texts[k] for k in use]
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            if i not in comp:  # another document of its class stands for it
-                continue
-            s = shingles(words, text)
-            if not len(s):
-                continue
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                s = s[np.argsort(np.where(tokens[at] == s, counts[at], 0), kind="stable")]
-            size = len(s)
-            take = size - -(-PERCENT * size // 100) + 1
-            for c, v in zip(cols, (s[:take], np.full(take, i), np.full(take, comp[i]), np.full(take, size), np.arange(take)), strict=True):
+        for a, b in groups(texts):
+            h, counts = shingle_sets(texts[a:b])
+            owner = np.repeat(np.arange(b - a), counts)
+            if len(tokens) and len(h):
+                at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+                rank = np.where(tokens[at] == h, counts_of[at], 0)
+                h = h[np.lexsort((rank, owner))]
+            place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+            size = np.repeat(counts, counts)
+            head = place < size - -(-PERCENT * size // 100) + 1
+            who = np.array(ids[a:b], np.int64)[owner[head]] if b > a else np.zeros(0, np.int64)
+            label = np.array([comp[i] for i in ids[a:b]], np.int64)[owner[head]] if b > a else who
+            for c, v in zip(cols, (h[head], who, label, size[head], place[head]), strict=True):
                 c.append(v)
         if not cols[0]:
             return blobs.SCHEMA.empty_table()
@@ -351,15 +451,20 @@ def similar_components(docs: DataFrame) -> DataFrame:
         spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    signs = kept(map_batches(rows, _signs, "doc_id bigint, n bigint, s1 bigint, s2 bigint, " + ", ".join(f"m{k} bigint" for k in range(MINS))), "signs")
+    written = kept(map_batches(rows, _signs, SIGNS_DDL), "signs")
+    signs = written.where(F.col("n") >= 0)
     some = signs.where("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(MINS)])
     leads = kept(classes.select("doc_id", "n", "s1", "s2", *[f"m{k}" for k in range(MINS)]), "classes")
 
     by_doc = rows.where("doc_id is not null").withColumn("bucket", blobs.doc_bucket_column(F.col("doc_id"), keys)).repartition(n, "bucket")
 
+    sketches = some.select("doc_id", "n", "sketch").withColumn("bucket", blobs.doc_bucket_column(F.col("doc_id"), keys)).repartition(n, "bucket")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = by_doc.groupBy("bucket").cogroup(blobs.dealt(pairs, n).groupBy("bucket")).applyInArrow(_send_texts(keys), TEXTS_DDL)
+        sent = sketches.groupBy("bucket").cogroup(blobs.dealt(pairs, n).groupBy("bucket")).applyInArrow(_send(keys, ["n", "sketch"], SENT), SENT_DDL)
+        likely = sketches.groupBy("bucket").cogroup(sent.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_sift(keys), blobs.DDL)
+        texts = by_doc.groupBy("bucket").cogroup(blobs.dealt(likely, n).groupBy("bucket")).applyInArrow(_send(keys, ["text"], TEXTS), TEXTS_DDL)
         return by_doc.groupBy("bucket").cogroup(texts.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_verify, "u bigint, v bigint")
 
     # similar sets: each group of an equal minimum is compared with its leaders
@@ -375,7 +480,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     labelled = kept(leads.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")), "labels")
 
     # the rest, through the prefix index
-    counted = map_batches(rows.select("text"), _frequent(8), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = map_batches(written.where(F.col("n") == COUNTS_ROW).select("sketch"), _token_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where("n >= 16").orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
