@@ -41,7 +41,7 @@ from kvlake.llm.common import Rolling, map_batches, mix, shared_folder
 from kvlake.llm.graph import components
 from kvlake.shipping import ship_package
 
-K, PERCENT, MINS, BLOCK = 5, 80, 4, 64
+K, PERCENT, MINS, BLOCK, SHORT_LIST = 5, 80, 4, 64, 24
 MOST_FREQUENT = 500_000
 _ROLL = Rolling(0xA0761D6478BD642F | 1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -345,7 +345,9 @@ def _postings(keys: np.ndarray, frequent):
             if len(tokens) and len(h):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
                 rank = np.where(tokens[at] == h, counts_of[at], 0)
-                h = h[np.lexsort((rank, owner))]
+                if rank.any():
+                    level = np.ceil(np.log2(rank + 1.0)).astype(np.int64)  # the same order on every worker
+                    h = h[np.argsort(owner * 64 + level, kind="stable")]
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(counts, counts)
             head = place < size - -(-PERCENT * size // 100) + 1
@@ -389,9 +391,23 @@ def _candidates(keys: np.ndarray):
         head = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         width = np.diff(np.append(head, len(token)))
         low, high = np.minimum.reduceat(label, head), np.maximum.reduceat(label, head)
+        wanted = (width > 1) & (low != high)
         found: list[np.ndarray] = []
+        # short lists: all of them at once, places one apart, two apart, ...
+        short = np.repeat(wanted & (width <= SHORT_LIST), width)
+        end = np.repeat(head + width, width)
+        for apart in range(1, SHORT_LIST):
+            x = np.flatnonzero(short[: len(token) - apart])
+            x = x[x + apart < end[x]]
+            if not len(x):
+                break
+            y = x + apart
+            fits = (label[x] != label[y]) & (doc[x] != doc[y]) & (PERCENT * size[y] <= 100 * size[x])
+            fits &= np.minimum(size[x] - at[x], size[y] - at[y]) >= least_overlap(size[x], size[y])
+            x, y = x[fits], y[fits]
+            found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])]))
         held = 0
-        for k in np.flatnonzero((width > 1) & (low != high)).tolist():
+        for k in np.flatnonzero(wanted & (width > SHORT_LIST)).tolist():
             a, b = int(head[k]), int(head[k] + width[k])
             for pairs in _list_pairs(doc[a:b], label[a:b], size[a:b], at[a:b]):
                 found.append(pairs)
@@ -403,7 +419,10 @@ def _candidates(keys: np.ndarray):
                     yield blobs.batch(list(_pair_rows(found[0], keys, n)))
                     found = []
         if found:
-            yield blobs.batch(list(_pair_rows(np.unique(np.concatenate(found, axis=1), axis=1), keys, n)))
+            pairs = np.concatenate(found, axis=1)
+            order = np.lexsort(pairs)
+            pairs = pairs[:, order]
+            yield blobs.batch(list(_pair_rows(pairs[:, np.append(True, (pairs[:, 1:] != pairs[:, :-1]).any(axis=0))] if pairs.shape[1] else pairs, keys, n)))
 
     return run
 
