@@ -6,8 +6,9 @@ for, so relations between sets let most pairs be skipped without loss:
 
 1. Equal sets are one class; its least doc_id stands for all.
 2. Highly similar sets. Sets with an equal minimum under one of MINS
-   permutations are compared with one leader of their group, and the verified
-   links joined to components. A set takes over its leader's component, so no
+   permutations are compared with one leader of their group, then, HUB_ROUNDS
+   times, those of other components with the member that has most links; the
+   verified links are joined to components. A set takes over its leader's component, so no
    pair inside a component is looked at again: that part of its answers is
    derived, not computed.
 3. The rest, exactly. Each class puts the prefix of its set (in one global token
@@ -42,6 +43,7 @@ from kvlake.llm.graph import components
 from kvlake.shipping import ship_package
 
 K, PERCENT, MINS, BLOCK, SHORT_LIST = 5, 80, 4, 64, 24
+HUB_ROUNDS = 2
 MOST_FREQUENT = 500_000
 _ROLL = Rolling(0xA0761D6478BD642F | 1)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -217,6 +219,15 @@ def _pair_rows(pairs: np.ndarray, keys: np.ndarray, n: int) -> Iterator[tuple]:
         yield (int(keys[which[part[0]]]), 0, np.diff(lead[part], prepend=0).astype("<i8").tobytes(), b"", member[part].astype("<i8").tobytes(), b"")
 
 
+def _packed_pairs(keys: np.ndarray):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            pairs = np.stack([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)])
+            yield blobs.batch(list(_pair_rows(pairs, keys, len(keys))))
+
+    return run
+
+
 TEXTS = pa.schema([("bucket", pa.int32()), ("lead", pa.int64()), ("text", pa.string()), ("members", pa.binary())])
 TEXTS_DDL = "bucket int, lead bigint, text string, members binary"
 SENT = pa.schema([("bucket", pa.int32()), ("lead", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("members", pa.binary())])
@@ -495,8 +506,22 @@ def similar_components(docs: DataFrame) -> DataFrame:
     heads = groups.groupBy("m", F.pmod("doc_id", F.lit(16)).alias("salt"), (F.log2("n") * 6).cast("int").alias("band")).agg(F.min(F.struct("n", "doc_id")).alias("x")).select("m", "x.doc_id", "x.n")
     seconds = map_batches(heads.repartition(n, "m"), _group_leaders(keys), blobs.DDL)
     near = kept(verified(firsts.unionByName(seconds)), "near")
-    labels = components(near)
-    labelled = kept(leads.select("doc_id").distinct().join(labels, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")), "labels")
+    nodes = leads.select("doc_id").distinct()
+
+    def labels_of(links: DataFrame, name: str) -> DataFrame:
+        found = nodes.join(components(links), F.col("doc_id") == F.col("id"), "left")
+        return kept(found.select(F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("component")), name)
+
+    labelled = labels_of(near, "labels")
+    for round_ in range(HUB_ROUNDS):
+        # each group meets its hub, the member with most links so far; only other components are compared
+        degree = near.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+        members = groups.join(degree, F.col("doc_id") == F.col("id"), "left").drop("id").join(labelled.withColumnRenamed("id", "doc_id"), "doc_id")
+        hubs = members.groupBy("m").agg(F.count("*").alias("size"), F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), (-F.col("doc_id")).alias("minus"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))).alias("h")).where("size > 1").select("m", "h.*")
+        pairs = members.join(hubs, "m").where("component <> hub_component").where(F.lit(PERCENT) * F.greatest("n", "hub_n") <= 100 * F.least("n", "hub_n")).select((-F.col("minus")).alias("lead"), F.col("doc_id").alias("member")).distinct()
+        by_lead = pairs.withColumn("bucket", blobs.doc_bucket_column(F.col("lead"), keys)).repartition(n, "bucket")
+        near = kept(near.union(verified(map_batches(by_lead.select("lead", "member"), _packed_pairs(keys), blobs.DDL))), f"near{round_}")
+        labelled = labels_of(near, f"labels{round_}")
 
     # the rest, through the prefix index
     counted = map_batches(written.where(F.col("n") == COUNTS_ROW).select("sketch"), _token_counts, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
