@@ -205,7 +205,7 @@ class ChunkCodec:
     A string's key is the hash of its bytes mixed with its length (64 bits).
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000, most_chunk_ids: int = 8_000_000):
+    def __init__(self, path: str, most_words: int = 1_000_000, most_chunk_ids: int = 2_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -229,7 +229,7 @@ class ChunkCodec:
     def _plain(self, text: str) -> bool:
         return not _BEYOND.search(text) and not ("<|" in text and any(s in text for s in SPECIAL))
 
-    def encode_many(self, texts: list[str], at_once: int = 2_000_000) -> Iterator[np.ndarray]:
+    def encode_many(self, texts: list[str], at_once: int = 1_000_000) -> Iterator[np.ndarray]:
         """Ids of each whole text; plain texts are worked off in groups of about ``at_once`` characters."""
         start = 0
         while start < len(texts):

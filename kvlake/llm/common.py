@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,16 +17,31 @@ from kvlake.shipping import ship_package
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(33)
+SLICE = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on and run other stages."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package made available to the workers."""
+    """``mapInArrow`` with this package made available to the workers; batches come in slices of SLICE rows at most."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(part.slice(k, SLICE) for part in parts for k in range(0, part.num_rows, SLICE))
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -52,7 +52,7 @@ _SEEDS = np.random.default_rng(31).integers(1, 1 << 63, MINS, np.uint64)
 
 _BYTES = np.random.default_rng(37).integers(1, 1 << 63, 256, np.uint64)
 _BYTE_ROLL = Rolling()
-GROUP_CHARS, GROUP_TEXTS = 1_500_000, 60_000
+GROUP_CHARS, GROUP_TEXTS = 600_000, 60_000
 
 
 def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -162,7 +162,7 @@ def _signs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cols[2 + k][some] = np.minimum.reduceat(mix(h ^ seed), first)
             sketches = [sketch(h[e - n : e]).tobytes() if n else b"" for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.array(counts, pa.int64()), *[pa.array(c.view(np.int64)) for c in cols], pa.array(sketches, pa.binary())], schema=SIGNS)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield counted()
                 held, size = [], 0
     if held:

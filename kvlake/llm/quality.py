@@ -221,7 +221,7 @@ class QualityModel:
         self.slope = float(np.clip(a, 0.1, 20))
         self.shift = float(np.log(LIMIT / (1 - LIMIT)) - self.slope * split)
 
-    def scores(self, texts: list[str | None], at_once: int = 2_000_000) -> np.ndarray:
+    def scores(self, texts: list[str | None], at_once: int = 600_000) -> np.ndarray:
         parts, start = [], 0
         while start < len(texts):
             end, chars = start, 0
