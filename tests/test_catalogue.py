@@ -1,5 +1,6 @@
 """The query catalogue: oracles on the smallest tables, and independence of the corpus operators."""
 
+import itertools
 import os
 import subprocess
 import sys
@@ -8,7 +9,7 @@ import duckdb
 import pytest
 
 from kvlake import cli
-from kvlake.operators.check import check
+from kvlake.operators.check import GET, PUT, check, kv_step
 from kvlake.plans import catalogue
 from kvlake.sources.store import KVStore
 
@@ -32,6 +33,30 @@ def test_every_history_of_the_catalogue_is_legal(spark):
     assert check(catalogue.QUERIES["linearizability"](spark, SF)).first().result == "Ok"
 
 
+def test_histories_hold_every_event_and_equal_all_orders(spark, tmp_path):
+    events = [(39_995 + k, k % 2, ("view", "click", "error", "view", "signup")[k % 5]) for k in range(10)] + [(250_000, 0, "view"), (9_000_000, 2, "view")]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    histories, state = {}, {}
+    for n, user, kind in events:
+        if kind == "view":
+            op = (GET, None, state.get(user, ""))
+        else:
+            state[user] = "" if kind == "error" else f"{kind}:{n}"
+            op = (PUT, state[user], "")
+        histories.setdefault(str(user), []).append((*op, n * 10 - 5, n * 10 + 10))
+
+    def legal(ops, order):
+        now = ""
+        for k, at in enumerate(order):
+            fits, now = kv_step(now, *ops[at][:3])
+            if not fits or any(ops[j][4] < ops[at][3] for j in order[k + 1 :]):
+                return False
+        return True
+
+    want = {(key, "Ok" if any(legal(ops, order) for order in itertools.permutations(range(len(ops)))) else "Illegal", len(ops)) for key, ops in histories.items()}
+    assert {tuple(r) for r in catalogue.QUERIES["linearizability"](spark, str(tmp_path)).select("key", "result", "operations").collect()} == want
+
+
 def test_the_library_does_not_import_the_corpus_operators():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     files = [os.path.relpath(os.path.join(d, f), root) for d, _, names in os.walk(os.path.join(root, "kvlake")) for f in names if f.endswith(".py")]
