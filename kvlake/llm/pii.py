@@ -4,8 +4,9 @@ The tagger is a bidirectional LSTM over character symbols with CRF transitions,
 trained in numpy on labelled spans that this module writes itself from formats
 of e-mail addresses, IP addresses, card and phone numbers amid words, dates,
 prices, keys and versions. It reads windows of WINDOW characters, every STRIDE
-characters, wherever a digit or '@' lies within REACH: a span of any of the four
-kinds holds one, so no text outside can hold a span. The emissions of
+characters, wherever a digit or '@' lies within REACH, and further to the ends of
+the address around an '@' and through the gaps of a phone number: a span of any of
+the four kinds holds a digit or '@', so no text outside can hold one. The emissions of
 overlapping windows are averaged per character, each weighted by its distance
 from the window's ends, and one Viterbi pass over the whole region, across all
 its windows, gives the global labelling. A decoded span is added if its kind's
@@ -41,6 +42,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT_RUNS = re.compile("[0-9]+")
 _TRIGGER = re.compile("[0-9@]+")
+_AFTER_AT = re.compile(r" ?(?:[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)?")
+_IN_PHONE = re.compile("[ ().-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -316,15 +319,35 @@ def trained(windows: int = 5000, epochs: int = 7) -> Tagger:
     return tagger
 
 
+def _before_at(text: str, at: int) -> int:
+    """Where the run of local characters before an '@' starts, one space between them let through."""
+    if at and text[at - 1] == " ":
+        at -= 1
+    while at and text[at - 1] in _LOCAL:
+        at -= 1
+    return at
+
+
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of a digit or '@'; those that meet are one."""
+    """Stretches that hold every span of a kind's shape; those that meet are one.
+
+    Each reaches REACH characters around a digit or '@' and goes on from an '@' to
+    the ends of the runs beside it, and between digits through the marks of a phone number.
+    """
     out: list[list[int]] = []
+    last = -1
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        if "@" in m[0]:
+            a = min(a, _before_at(text, text.index("@", m.start())))
+            b = max(b, _AFTER_AT.match(text, text.rindex("@", m.start(), m.end()) + 1).end())
+        if out and (a <= out[-1][1] or _IN_PHONE.fullmatch(text, last, m.start())):
+            while len(out) > 1 and a <= out[-2][1]:
+                b = max(b, out.pop()[1])
+            out[-1] = [min(a, out[-1][0]), max(b, out[-1][1])]
         else:
             out.append([a, b])
+        last = m.end()
     return [(a, b) for a, b in out]
 
 

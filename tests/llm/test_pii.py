@@ -68,6 +68,41 @@ def test_method_finds_what_the_patterns_lose_and_leaves_clean_text_alone(tagger)
         assert pii.base_spans(clean) == [] and found(clean) == []
 
 
+def test_regions_hold_whole_spans_of_every_shape():
+    rng = random.Random(6)
+    part = lambda chars, most: "".join(rng.choice(chars) for _ in range(rng.randrange(1, most)))
+    local, label = "abcXYZ0189._%+-", "abcXYZ019-"
+    for _ in range(3000):
+        gap = lambda: " " * rng.choice((1, 1, 1, 60)) + rng.choice(("", "(", "-", ". "))
+        email = part(local, 60) + rng.choice(("@", " @ ", "@ ", " @")) + ".".join(part(label, 30) for _ in range(rng.randrange(1, 5))) + "." + part("abcXYZ", 40) + "xy"
+        phone = "+1" + "".join(gap() + part("0123456789", 3) for _ in range(20))[:90] + "5"
+        digits = re.sub("[^0-9]", "", phone)
+        span = email if rng.random() < 0.7 or not 10 <= len(digits) <= 15 else phone
+        assert pii._shaped(0 if span is email else 3, span), span
+        before, after = part("ab 1@.é\n", 60) + rng.choice(("\n", "é ", ", ")), rng.choice(("\n", " é", "", ", ")) + part("ab 1@.é\n", 60)
+        text = before + span + after
+        regions = pii.regions(text)
+        assert any(a <= len(before) and len(before) + len(span) <= b for a, b in regions), text
+        assert all(b < c for (_, b), (c, _) in zip(regions, regions[1:], strict=False)), text
+
+
+def test_long_spaced_addresses_are_found_and_masked_whole(tagger):
+    cases = {
+        "see mary.smith @ students.university.edu or": "see <EMAIL> or",
+        "please ask bartholomew.featherstone @ example.com about it": "please ask <EMAIL> about it",
+        "mail mary.smith@ abcdefgh-x.example.com now": "mail <EMAIL> now",
+    }
+    for text, want in cases.items():
+        base = pii.base_spans(text)
+        more = pii.tagger_spans(tagger, [text], [base])[0]
+        assert pii.mask(text, base + more) == want
+
+
+def test_regions_take_linear_time():
+    for text in ("a" * 300_000 + "@", "a@" * 100_000, "1 " * 100_000, "@ " + "a" * 300_000, "1" + " " * 300_000 + "1", "a.@ " * 100_000, "1" + "-" * 50 + "a" * 100_000 + "@"):
+        pii.regions(text)
+
+
 def test_overlapping_windows_are_one_labelling(tagger):
     text = "word " * 10 + " ".join("+1 (269) 555-3296 4524132264652876 thshe" for _ in range(40))
     got = pii.tagger_spans(tagger, [text], [pii.base_spans(text)])[0]
