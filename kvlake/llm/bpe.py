@@ -9,9 +9,9 @@ space, where the encodings on either side agree for certain: the pre-tokenizer
 drops white space and merges never cross it, and neither NFC nor lower-casing
 acts across it. A chunk without such a place becomes part of the joint.
 
-Only pieces made of characters below U+0250 without a special-token string are
-split here, with the tokenizer file's own pattern; any other piece goes to the
-tokenizers library as it is.
+Only texts made of characters below U+0250, before and after lower-casing, and
+without a special-token string are split here, with the tokenizer file's own
+pattern; any other text goes to the tokenizers library as it is.
 
 Defined cases: null is encoded as the empty text (no ids, decoded ''); rows
 with null or repeated ids are encoded like any other; texts of any length are
@@ -39,7 +39,8 @@ _LETTER = "a-zªµºß-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
 _BLANK = "\t-\r \x85\xa0"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_NUMBER}{_LETTER}]+")
-_BEYOND = re.compile("[^\x00-ɏ]")
+_RISING = "".join(chr(c) for c in range(0x250) if any(x > "ɏ" for x in chr(c).lower()))
+_BEYOND = re.compile(f"[{_RISING}\u0250-\U0010ffff]")
 
 WINDOW = 16
 MASK = np.uint64(0x1FF)

@@ -28,6 +28,15 @@ def test_random_texts_equal_the_library():
         assert codec.decode(ids).decode() == shown
 
 
+def test_capitals_whose_lower_case_lies_beyond_the_pattern():
+    codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    capitals = [chr(c) for c in range(0x250) if max(map(ord, chr(c).lower())) >= 0x250]
+    assert len(capitals) >= 23
+    texts = [text for c in capitals for text in (c, f"{c}li", f"a{c}b x{c} {c}", f"plain words, then B{c}{c}C")]
+    for text, ids in zip(texts, codec.encode_many(texts), strict=True):
+        assert ids.tolist() == expected(library, text)[0], text
+
+
 def test_chunks_are_reused_and_joints_repaired():
     rng = random.Random(5)
     passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 12))) for _ in range(2000))
