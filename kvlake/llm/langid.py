@@ -37,6 +37,7 @@ from kvlake.llm.common import crc_mod, map_batches, mix
 ORDER = 5
 LONGEST = 40_000
 MOST_LANGS = 200
+PIECE = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,7 +160,23 @@ class KneserNey:
         return rows[at]
 
     def entropies(self, words: list[str], at_once: int = 200_000) -> np.ndarray:
-        """Nats of each word under every language: word, language."""
+        """Nats of each word under every language: word, language.
+
+        Words above PIECE letters are scored whole, in pieces that begin with the letters their first place looks back to.
+        """
+        if any(len(w) > PIECE for w in words):
+            pieces, first, cut = [], [], {}
+            for w in words:
+                first.append(len(pieces))
+                for k in range(0, len(w), PIECE):
+                    if len(w) > PIECE:
+                        cut[len(pieces)] = (min(k, ORDER - 1), k + PIECE >= len(w))
+                    pieces.append(w[max(0, k - ORDER + 1) : k + PIECE])
+            return np.add.reduceat(self._nats(pieces, cut, at_once), first, axis=0, dtype=np.float64).astype(np.float32)
+        return self._nats(words, {}, at_once)
+
+    def _nats(self, words: list[str], cut: dict[int, tuple[int, bool]], at_once: int) -> np.ndarray:
+        """cut: piece -> how many places at its start belong to the piece before, and whether the word ends with it."""
         parts = []
         start = 0
         while start < len(words):
@@ -177,6 +194,11 @@ class KneserNey:
                     p[here] = self._rows(self.gram_keys[n], self.gram_index[n], self.gram_p[n], hashes[n][here]) + self._rows(self.ctx_keys[n], self.ctx_index[n], self.ctx_back[n], left[n][here]) * p[here]
             logs = -np.log(p)
             first = np.searchsorted(owner, np.arange(len(some)), "left")
+            for k in range(start, end) if cut else ():
+                if k in cut:
+                    at = first[k - start]
+                    logs[at : at + cut[k][0]] = 0
+                    logs[at + len(words[k])] *= cut[k][1]
             parts.append(np.add.reduceat(logs, first, axis=0))
             start = end
         return np.concatenate(parts) if parts else np.zeros((0, len(self.langs)), np.float32)
@@ -203,30 +225,30 @@ class WordRows(dict):
 
     def __init__(self, most: int = 800_000):
         super().__init__()
-        self.most, self.waiting, self.table, self.used = most, [], np.zeros((0, 0), np.float32), 0
+        self.most, self.waiting, self.table, self.used, self.letters = most, [], np.zeros((0, 0), np.float32), 0, 0
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
         self.waiting.append(word)
+        self.letters += len(word)
         return n
 
     def make_room(self) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most or self.letters > 20 * self.most:
             self.clear()
-            self.used = 0
+            self.used = self.letters = 0
 
     def rows(self, model: KneserNey) -> np.ndarray:
         if self.waiting:
-            short = [w[:200] for w in self.waiting]
-            nats = model.entropies(short)
-            need = self.used + len(short)
+            nats = model.entropies(self.waiting)
+            need = self.used + len(self.waiting)
             if need > len(self.table):
                 grown = np.zeros((2 * need, nats.shape[1] + 1), np.float32)
                 if self.used:
                     grown[: self.used] = self.table[: self.used]
                 self.table = grown
             self.table[self.used : need, :-1] = nats
-            self.table[self.used : need, -1] = np.fromiter(map(len, short), np.float32, len(short)) + 1
+            self.table[self.used : need, -1] = np.fromiter(map(len, self.waiting), np.float32, len(self.waiting)) + 1
             self.used = need
             self.waiting.clear()
         return self.table

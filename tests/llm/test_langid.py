@@ -54,6 +54,24 @@ def test_entropies_equal_plain_dictionaries():
     np.testing.assert_allclose(got, model.entropies(words, at_once=3), rtol=1e-6)
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    rng = random.Random(2)
+    samples = {lang: Counter("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)) for lang, letters in (("aa", "abc"), ("bb", "bcdé"))}
+    model = langid.KneserNey({k: dict(v) for k, v in samples.items()})
+    words = ["".join(rng.choice("abcdé") for _ in range(n)) for n in (1, 6, 7, 8, 11, 14, 15, 60, 260)]
+    want = np.array([[brute_nats(samples[lang], w) for lang in model.langs] for w in words])
+    text = "abc" * 67 + "bcdé" * 400
+    sums, sizes = model.score_texts([text, " ".join(words)], langid.WordRows())
+    assert sizes.tolist() == [len(text) + 1, sum(len(w) + 1 for w in words)]
+    assert sums[0].argmin() == model.langs.index("bb")
+    np.testing.assert_allclose(sums[1] * sizes[1], want.sum(axis=0), rtol=2e-4)
+    whole = model.entropies([text])
+    monkeypatch.setattr(langid, "PIECE", 7)
+    np.testing.assert_allclose(model.entropies([text]), whole, rtol=1e-4)
+    np.testing.assert_allclose(model.entropies(words), want, rtol=2e-4)
+    np.testing.assert_allclose(model.entropies(words, at_once=3), want, rtol=2e-4)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
