@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,16 +55,20 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; forgets everything when it holds ``most`` words."""
+    """word -> 64-bit hash; forgets everything when it holds ``most`` words, and never holds words above LONG bytes."""
 
-    def __init__(self, most: int = 1_000_000):
+    LONG = 64
+
+    def __init__(self, most: int = 500_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -82,6 +87,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Polynomial window hashes mod 2**64 of whole arrays at once.
 
+    For short windows of values that are hashes themselves, and for finding cuts. Windows of
+    hundreds of plain bytes can collide by construction, so strings are never told apart by it.
+
     With an odd base B the prefix sums S[k] = sum(h[i] * B**-i) give the hash
     of the window [i, i+n) as (S[i+n] - S[i]) * B**i.
     """
@@ -114,11 +122,19 @@ class Rolling:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where none is set."""
+    """A new folder under ``spark.checkpoint.dir``, removed when the driver ends.
+
+    Only a local master, whose executors are the driver's own threads, gets a folder of its own where none is set.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{base.rstrip('/')}/kvlake-{purpose}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/kvlake-{purpose}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -8,15 +8,16 @@ the characters in words, is exceeded:
 
 * n = 2, 3, 4: the n-gram whose occurrences hold most characters
   (occurrences times its characters, if it occurs twice or more);
-* n = 5 to 10: words covered by an occurrence of an n-gram after its first
-  (judged where they are MIN_COVERED words or more: a heading or notice said
-  twice in a short text is no pattern of repetition);
-* words in lines equal to an earlier line, and the share of such lines
-  (judged where there are MIN_DUP_LINES or more).
+* n = 5 to 10: words covered by an occurrence of an n-gram after its first;
+* words in lines equal to an earlier line, and the share of such lines.
+
+Words are hashed with xxh3; the rolling hash runs over the words' hashes.
 
 All comparisons are of integers, so ties at a limit are kept, on every engine
 alike. Defined cases: a null or empty text has zero counts and fails the base
-rules; null or repeated ids are judged row by row; every length is read whole.
+rules; null or repeated ids are judged row by row; every length is read whole;
+an empty table gives an empty one; other columns, whatever their names, are not
+read and not returned.
 """
 
 from __future__ import annotations
@@ -27,32 +28,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kvlake.llm.common import Rolling, map_batches, mix
+from kvlake.llm.common import Rolling, WordHashes, map_batches
 
 #: Percent of the characters in words; fixed values of published repetition rules.
 TOP_LIMITS = {2: 20, 3: 18, 4: 16}
 COVER_LIMITS = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
-MIN_COVERED, MIN_DUP_LINES = 30, 3
 DUP_LINE_LIMIT, DUP_LINE_CHARS_LIMIT = 30, 20
 SYMBOLS = "#*$%&|<>"
 
 COLUMNS = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, max_cover_percent double"
-_ROLL = Rolling()
-_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
+_ROLL, _WORDS = Rolling(), WordHashes()
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 
 
-def word_arrays(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, number of code points and start byte of every word of a UTF-8 text."""
+def word_arrays(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of code points of every word of a UTF-8 text."""
     data = np.frombuffer(raw, np.uint8)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    prefix = _ROLL.prefix(_BYTES[data])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    hashes = mix(((prefix[end] - prefix[start]) * _ROLL.up[start]) ^ ((end - start).astype(np.uint64) << np.uint64(44)))
-    return hashes, points[end] - points[start], start
+    return _WORDS.of(raw.split()), points[end] - points[start]
 
 
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +75,7 @@ def measure(text: str | None) -> tuple:
     if not raw:
         return 0, 0, 0, 0, 0, True, False, 0.0
     symbols = int(_IS_SYMBOL[np.frombuffer(raw, np.uint8)].sum())
-    hashes, chars, _ = word_arrays(raw)
+    hashes, chars = word_arrays(raw)
     n, total = len(hashes), int(chars.sum())
     seen: set[bytes] = set()
     lines = dup_lines = dup_line_chars = 0
@@ -112,11 +109,10 @@ def measure(text: str | None) -> tuple:
             held, limit = int((size * width)[size > 1].max()), TOP_LIMITS[k]
         else:
             inside = _covered(order[again], k, n)
-            held, limit = int(chars[inside].sum()), COVER_LIMITS[k] if inside.sum() >= MIN_COVERED else 100
+            held, limit = int(chars[inside].sum()), COVER_LIMITS[k]
         over |= 100 * held > limit * total
         worst = max(worst, 100.0 * held / total)
-    if dup_lines >= MIN_DUP_LINES:
-        over |= 100 * dup_lines > DUP_LINE_LIMIT * lines or 100 * dup_line_chars > DUP_LINE_CHARS_LIMIT * total
+    over |= 100 * dup_lines > DUP_LINE_LIMIT * lines or 100 * dup_line_chars > DUP_LINE_CHARS_LIMIT * total
     failed = n < 50 or 100 * repeat_words > 50 * n
     return n, total, symbols, dup_lines, repeat_words, failed, not failed and not over, worst
 
@@ -145,9 +141,9 @@ grams as (
 counted as (
   select r, n, i, length(g) - (n - 1) as width, count(*) over (partition by r, n, g) as c,
          row_number() over (partition by r, n, g order by i) as nth from grams),
-top as (select r, n, max(c * width) as held, 30 as words from counted where n <= 4 and c > 1 group by r, n),
+top as (select r, n, max(c * width) as held from counted where n <= 4 and c > 1 group by r, n),
 cov as (
-  select r, n, sum(len)::bigint as held, count(*) as words from (
+  select r, n, sum(len)::bigint as held from (
     select distinct c.r, c.n, t.i, length(t.word) as len
     from (select r, n, unnest(range(i, i + n)) as j from counted where n >= 5 and nth > 1) c
     join t on t.r = c.r and t.i = c.j) group by r, n),
@@ -157,7 +153,7 @@ rep as (
 lim(n, cap) as (values (2, 20), (3, 18), (4, 16), (5, 15), (6, 14), (7, 13), (8, 12), (9, 11), (10, 10)),
 bad as (
   select distinct h.r from (select * from top union all select * from cov) h join lim using (n) join base b on b.r = h.r
-  where 100 * h.held > lim.cap * b.total and h.words >= 30),
+  where 100 * h.held > lim.cap * b.total),
 lines as (
   select r, line, row_number() over (partition by r, line) as nth
   from (select r, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -169,8 +165,8 @@ s as (
   select d.doc_id, coalesce(b.n, 0) as n_words, coalesce(b.total, 0)::bigint as word_chars,
          length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
          coalesce(ln.dups, 0)::bigint as n_dup_lines, coalesce(rep.repeat_words, 0)::bigint as n_repeat_words,
-         bad.r is not null or coalesce(ln.dups, 0) >= 3 and (100 * ln.dups > 30 * ln.lines
-           or 100 * ln.dup_chars > 20 * coalesce(b.total, 0)) as over_limit
+         bad.r is not null or coalesce(100 * ln.dups > 30 * ln.lines
+           or 100 * ln.dup_chars > 20 * coalesce(b.total, 0), false) as over_limit
   from d left join base b using (r) left join ln using (r) left join rep using (r) left join bad using (r))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
