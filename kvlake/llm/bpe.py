@@ -1,49 +1,45 @@
 """BPE encoding and decoding by content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes hits a pattern, so that
-equal passages of different documents give equal chunks. The inner part of a
-chunk, between its first and its last white space, is encoded once and then
-reused. The two ragged ends around each cut are joined and encoded again; the
-joint grows to the left and to the right until both of its ends lie at white
-space, where the encodings on either side agree for certain: the pre-tokenizer
-drops white space and merges never cross it, and neither NFC nor lower-casing
-acts across it. A chunk without such a place becomes part of the joint.
-
-Only texts made of characters below U+0250, before and after lower-casing, and
-without a special-token string are split here, with the tokenizer file's own
-pattern; any other text goes to the tokenizers library as it is.
-
-Defined cases: null is encoded as the empty text (no ids, decoded ''); rows
-with null or repeated ids are encoded like any other; texts of any length are
-encoded whole, in chunks.
+equal passages of different documents give equal chunks. A chunk's inside, from
+its first to its last white space, is encoded once by the tokenizer and reused
+wherever the same bytes come again; chunks are told apart by their bytes, not by
+a hash.
+
+What lies around a cut, from the last white space before it to the first one
+behind it, is a joint. It is encoded anew together with the last whole word of
+the chunk before and the first whole word of the chunk behind. Where the ids of
+these words are the ids that the two chunks end and begin with, the encodings
+agree and are put together; where they are not, the joint takes in twice as many
+words on each side, up to all of them, and is encoded again. Agreement at white
+space is exact: the tokenizer's pattern drops white space, its merges, NFC,
+lower-casing and special strings never act across it. A chunk without white space
+becomes part of the joint; a text without any is one joint. Joints are reused by
+their bytes as well.
+
+Every character takes this way; there is no other one.
+
+Defined cases: null is encoded as the empty text (no ids, decoded ''); an empty
+table gives an empty one; rows with null, repeated or tied ids are encoded like
+any other; texts of any length are encoded whole, in chunks of MOST_CHUNK bytes
+or less; other columns, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kvlake.llm.common import Rolling, map_batches, mix
+from kvlake.llm.common import Rolling, map_batches
 
-# Fixed values of the tokenizer file: special strings, and its split pattern
-# written out for lower-case characters below U+0250.
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_LETTER = "a-zªµºß-öø-ɏ"
-_NUMBER = "0-9²³¹¼-¾"
-_BLANK = "\t-\r \x85\xa0"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_NUMBER}{_LETTER}]+")
-_RISING = "".join(chr(c) for c in range(0x250) if any(x > "ɏ" for x in chr(c).lower()))
-_BEYOND = re.compile(f"[{_RISING}\u0250-\U0010ffff]")
-
-WINDOW = 16
-MASK = np.uint64(0x1FF)
+WINDOW, MASK = 16, np.uint64(0x1FF)
+LEAST_CHUNK, MOST_CHUNK = 128, 16_384
+_BLANKS = b" \t\n\v\f\r"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -52,147 +48,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class BatchMerger:
-    """BPE of many pre-tokens at once.
-
-    Pre-tokens of the same number of bytes form one array with a row each. In
-    every step each row merges its pair of lowest rank, the leftmost of equals,
-    so all rows stay equally long; a row without a pair in the table is done.
-    """
-
-    ABSENT = np.int32(np.iinfo(np.int32).max)
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.size = len(vocab) + 1
-        end = model["end_of_word_suffix"]
-        shown = self._byte_names()
-        self.inside = np.array([vocab[shown[b]] for b in range(256)], np.int32)
-        self.last = np.array([vocab[shown[b] + end] for b in range(256)], np.int32)
-        self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
-        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
-        self.bits = int(len(keys) - 1).bit_length() + 3
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        slots = self._slot(keys)
-        self.probes = 1
-        for key, slot, rank in zip(keys.tolist(), slots.tolist(), range(len(keys)), strict=True):
-            step = 1
-            while self.keys[slot] >= 0:
-                slot, step = (slot + 1) & ((1 << self.bits) - 1), step + 1
-            self.keys[slot], self.ranks[slot], self.probes = key, rank, max(self.probes, step)
-
-    @staticmethod
-    def _byte_names() -> list[str]:
-        """The printable stand-in of each byte: itself where printable, else the next code from 256 on."""
-        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        others = iter(range(256, 512))
-        return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys = left.astype(np.int64) * self.size + right
-        slots = self._slot(keys)
-        found = self.keys[slots]
-        out = np.where(found == keys, self.ranks[slots], self.ABSENT)
-        flat_keys, flat_slots, flat_out = keys.ravel(), slots.ravel(), out.ravel()
-        again = np.flatnonzero(((found != keys) & (found >= 0)).ravel())
-        for _ in range(self.probes):
-            if not len(again):
-                break
-            flat_slots[again] = (flat_slots[again] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[flat_slots[again]]
-            hit = found == flat_keys[again]
-            flat_out[again[hit]] = self.ranks[flat_slots[again[hit]]]
-            again = again[~hit & (found >= 0)]
-        return flat_out.reshape(keys.shape)
-
-    def encode(self, parts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        order = np.argsort(lengths, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
-            n = int(lengths[rows[0]]) if len(rows) else 0
-            if n:
-                self._equal(parts, rows, n, out)
-        return out
-
-    def _equal(self, parts: list[bytes], rows: np.ndarray, n: int, out: list[bytes]) -> None:
-        data = np.frombuffer(b"".join([parts[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), n)
-        ids = self.inside[data]
-        ids[:, -1] = self.last[data[:, -1]]
-        ranks = self.rank(ids[:, :-1], ids[:, 1:])
-        while len(rows):
-            if ids.shape[1] > 1:
-                at = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(rows)), at]
-                done = best == self.ABSENT
-            else:
-                done = np.ones(len(rows), bool)
-            if done.any():
-                raw, width = np.ascontiguousarray(ids[done], "<u4").tobytes(), 4 * ids.shape[1]
-                for k, i in enumerate(rows[done].tolist()):
-                    out[i] = raw[k * width : (k + 1) * width]
-                if done.all():
-                    return
-                go = ~done
-                rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
-            line = np.arange(len(rows))
-            ids[line, at] = self.merged[best]
-            keep = np.ones(ids.shape, bool)
-            keep[line, at + 1] = False
-            ids = ids[keep].reshape(len(rows), -1)
-            if ids.shape[1] == 1:
-                ranks = np.zeros((len(rows), 0), np.int32)
-                continue
-            keep = np.ones(ranks.shape, bool)
-            keep[line, at] = False
-            ranks = ranks[keep].reshape(len(rows), -1)
-            some = np.flatnonzero(at > 0)
-            ranks[some, at[some] - 1] = self.rank(ids[some, at[some] - 1], ids[some, at[some]])
-            some = np.flatnonzero(at < ids.shape[1] - 1)
-            ranks[some, at[some]] = self.rank(ids[some, at[some]], ids[some, at[some] + 1])
-
-
-class Segments:
-    """Strings known by hash -> their ids; two parallel sorted arrays over one buffer of ids."""
-
-    def __init__(self, most: int):
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key among those known, else -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """New keys with their ids one after another."""
-        need = self.used + len(ids)
-        if need > len(self.ids):
-            grown = np.zeros(2 * need, np.uint32)
-            grown[: self.used] = self.ids[: self.used]
-            self.ids = grown
-        self.ids[self.used : need] = ids
-        first = self.used + np.cumsum(count) - count
-        self.used = need
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.first = np.concatenate([self.first, first])[order]
-        self.count = np.concatenate([self.count, count])[order]
-
-
 def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0]+1, ... (count[0] of them), first[1], ..."""
     ends = np.cumsum(count)
@@ -200,13 +55,21 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(first - (ends - count), count)
 
 
-class ChunkCodec:
-    """Encoder and decoder of one worker; what it keeps is bounded by entry counts.
+class Joint:
+    """A stretch to encode: its bytes, and how many of them at either end repeat words of the chunks beside it."""
+
+    __slots__ = ("left", "right", "words", "start", "end", "head", "tail")
+
+    def __init__(self, left: int, right: int, start: int, end: int):
+        self.left, self.right = left, right  # chunk numbers on both sides; -1 at the text's ends
+        self.words, self.start, self.end = 1, start, end
+        self.head = self.tail = 0
 
-    A string's key is the hash of its bytes mixed with its length (64 bits).
-    """
 
-    def __init__(self, path: str, most_words: int = 1_000_000, most_chunk_ids: int = 2_000_000):
+class ChunkCodec:
+    """Encoder and decoder of one worker; what it keeps of chunks and joints is bounded by ``most_bytes``."""
+
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -217,109 +80,138 @@ class ChunkCodec:
         self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         self.name_count = np.fromiter(map(len, names), np.int64, len(names))
         self.name_first = np.cumsum(self.name_count) - self.name_count
-        self.merger = BatchMerger(path)
-        self.words, self.chunks = Segments(most_words), Segments(most_chunk_ids)
         self.rolling = Rolling()
         self.byte_hash = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
-        self.encoded_chunks = self.reused_chunks = 0
+        self.most_bytes, self.held = most_bytes, 0
+        self.chunks: dict[bytes, np.ndarray] = {}
+        self.joints: dict[tuple[bytes, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.encoded_chunks = self.reused_chunks = self.repaired_joints = self.grown_joints = 0
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokenizer file has no decoder: tokens are joined by one space. UTF-8."""
         return self.name_bytes[_spread(self.name_first[ids], self.name_count[ids])].tobytes()[:-1]
 
-    def _plain(self, text: str) -> bool:
-        return not _BEYOND.search(text) and not ("<|" in text and any(s in text for s in SPECIAL))
-
     def encode_many(self, texts: list[str], at_once: int = 1_000_000) -> Iterator[np.ndarray]:
-        """Ids of each whole text; plain texts are worked off in groups of about ``at_once`` characters."""
+        """Ids of each whole text; texts are worked off in groups of about ``at_once`` characters."""
         start = 0
         while start < len(texts):
             end, chars = start, 0
             while end < len(texts) and (chars < at_once or end == start):
                 chars += len(texts[end])
                 end += 1
-            group = texts[start:end]
-            plain = [self._plain(x) for x in group]
-            done = iter(self._group([x for x, fast in zip(group, plain, strict=True) if fast]))
-            for x, fast in zip(group, plain, strict=True):
-                yield next(done) if fast else np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint32)
+            yield from self._group(texts[start:end])
             start = end
 
     def encode(self, text: str) -> np.ndarray:
         return next(self.encode_many([text]))
 
-    def _keys(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (prefix[end] - prefix[start]) * self.rolling.up[start]
-        return mix(h ^ ((end - start).astype(np.uint64) << np.uint64(44)))
+    def cuts(self, raw: bytes) -> list[int]:
+        """Where the chunks of a text end: behind whole characters, LEAST_CHUNK to MOST_CHUNK bytes apart."""
+        n = len(raw)
+        if n <= LEAST_CHUNK:
+            return [n] if n else []
+        data = np.frombuffer(raw, np.uint8)
+        hits = np.flatnonzero((self.rolling.windows(self.rolling.prefix(self.byte_hash[data]), WINDOW) & MASK) == 0) + WINDOW
+        out, at = [], 0
+        while n - at > LEAST_CHUNK:
+            k = int(np.searchsorted(hits, at + LEAST_CHUNK))
+            cut = min(int(hits[k]) if k < len(hits) else n, at + MOST_CHUNK, n)
+            while cut < n and raw[cut] & 0xC0 == 0x80:
+                cut += 1
+            out.append(cut)
+            at = cut
+        if at < n:
+            out.append(n)
+        return out
+
+    def _encode(self, raws: list[bytes]) -> list:
+        return self.library.encode_batch([x.decode("utf-8") for x in raws], add_special_tokens=False)
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        raws = [x.encode("utf-8") for x in texts]
-        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
-        ends = np.cumsum(lengths + 1) - 1  # of the texts; each is followed by one blank
-        raw = b" ".join(raws) + b" "
-        data = np.frombuffer(raw, np.uint8)
-        prefix = self.rolling.prefix(self.byte_hash[data])
-        # words lie between agreement points
-        blank = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
-        start, end = np.concatenate([[0], blank[:-1] + 1]), blank
-        real = end > start
-        start, end = start[real], end[real]
-        if not len(start):
-            return [np.zeros(0, np.uint32)] * len(texts)
-        # chunks: cuts behind bytes where the hash of the last WINDOW bytes matches, and at the texts' ends
-        cut = np.flatnonzero((self.rolling.windows(prefix, WINDOW) & MASK) == 0) + WINDOW
-        cut = np.unique(np.concatenate([cut, ends]))
-        # a word that a cut runs through, or touches, is a joint and is encoded anew; other words are inner
-        piece = np.searchsorted(cut, start, "right")
-        joint = np.searchsorted(cut, end, "left") != piece
-        # segments: runs of inner words of one chunk, and single joints
-        new = np.ones(len(start), bool)
-        new[1:] = joint[1:] | joint[:-1] | (piece[1:] != piece[:-1])
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(start)) - 1
-        keys = self._keys(prefix, start[head], end[tail])
-        inner = ~joint[head]
-        if self.chunks.used > self.chunks.most:
+        if self.held > self.most_bytes:
             self.chunks.clear()
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = self.chunks.find(unique)
-        fresh = np.flatnonzero(known < 0)
-        self.encoded_chunks += int(inner[first[fresh]].sum())
-        self.reused_chunks += int(inner.sum() - inner[first[fresh]].sum())
-        if len(fresh):
-            of = first[fresh]
-            word = _spread(head[of], tail[of] - head[of] + 1)
-            ids, counts = self._words(raw, prefix, start[word], end[word])
-            parts = np.add.reduceat(counts, np.cumsum(tail[of] - head[of] + 1) - (tail[of] - head[of] + 1))
-            self.chunks.add(unique[fresh], ids, parts)
-            known = self.chunks.find(unique)
-        at = known[back]
-        count = self.chunks.count[at]
-        ids = self.chunks.ids[_spread(self.chunks.first[at], count)]
-        # segments never span texts
-        text = np.searchsorted(ends, start[head], "right")
-        each = np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64)
-        return np.split(ids, np.cumsum(each)[:-1])
-
-    def _words(self, raw: bytes, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and how many each has."""
-        unique, first, back = np.unique(self._keys(prefix, start, end), return_index=True, return_inverse=True)
-        if len(self.words.keys) + len(unique) > self.words.most:
-            self.words.clear()
-        known = self.words.find(unique)
-        fresh = np.flatnonzero(known < 0)
-        if len(fresh):
-            parts = [_SPLIT.findall(raw[a:b].decode("utf-8").lower()) for a, b in zip(start[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)]
-            names = list({x for some in parts for x in some})
-            done = dict(zip(names, self.merger.encode([x.encode("utf-8") for x in names]), strict=True))
-            packed = [b"".join(map(done.__getitem__, some)) for some in parts]
-            self.words.add(unique[fresh], np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4)
-            known = self.words.find(unique)
-        at = known[back]
-        count = self.words.count[at]
-        return self.words.ids[_spread(self.words.first[at], count)], count
+            self.joints.clear()
+            self.held = 0
+        plans = [self._plan(x.encode("utf-8")) for x in texts]
+        fresh = list(dict.fromkeys(x for _, insides, _ in plans for x in insides if x is not None and x not in self.chunks))
+        for x, ids in zip(fresh, self.library.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False), strict=True):
+            self.chunks[x] = np.array(ids.ids, np.uint32)
+            self.held += len(x) + 4 * len(self.chunks[x]) + 200
+        self.encoded_chunks += len(fresh)
+        self.reused_chunks += sum(x is not None for _, insides, _ in plans for x in insides) - len(fresh)
+        parts: list[list] = [[None] * (2 * len(insides) + 1) for _, insides, _ in plans]
+        for own, (_, insides, _) in zip(parts, plans, strict=True):
+            for k, x in enumerate(insides):
+                own[2 * k + 1] = self.chunks[x] if x is not None else None
+        todo = [(t, j) for t, (_, _, joints) in enumerate(plans) for j in joints]
+        while todo:
+            todo = self._repair(plans, parts, todo)
+        return [np.concatenate([x for x in own if x is not None]) if any(x is not None for x in own) else np.zeros(0, np.uint32) for own in parts]
+
+    def _plan(self, raw: bytes) -> tuple[bytes, list[bytes | None], list[Joint]]:
+        """A text's bytes, the inside of each chunk (None: no white space), and its joints."""
+        insides: list[bytes | None] = []
+        joints: list[Joint] = []
+        begin, left, start = 0, -1, 0
+        for cut in self.cuts(raw):
+            chunk = raw[begin:cut]
+            rest = chunk.lstrip(_BLANKS)
+            head = 0 if len(rest) < len(chunk) else len(chunk.split(None, 1)[0])  # bytes before the first white space
+            if head == len(chunk):
+                insides.append(None)
+            else:
+                tail = 0 if chunk[-1] in _BLANKS else len(chunk.rsplit(None, 1)[-1])
+                insides.append(chunk[head : len(chunk) - tail])
+                joints.append(Joint(left, len(insides) - 1, start, begin + head))
+                left, start = len(insides) - 1, cut - tail
+            begin = cut
+        joints.append(Joint(left, -1, start, len(raw)))
+        return raw, insides, [j for j in joints if j.end > j.start]
+
+    @staticmethod
+    def _reach(inside: bytes, words: int, from_end: bool) -> int:
+        """Bytes of the last, or first, so many words of a chunk's inside, with the white space between them and the joint."""
+        if from_end:
+            some = inside.rsplit(None, words)
+            rest = len(some[0].rstrip(_BLANKS)) if len(some) > words else 0
+            return len(inside) - (rest + (len(inside[rest:]) - len(inside[rest:].lstrip(_BLANKS))))
+        some = inside.split(None, words)
+        return len(inside) - len(some[-1]) if len(some) > words else len(inside)
+
+    def _repair(self, plans: list, parts: list, todo: list[tuple[int, Joint]]) -> list[tuple[int, Joint]]:
+        """Encode joints with the words beside them; those that do not agree yet come back with more words."""
+        keys = []
+        for t, j in todo:
+            raw, insides, _ = plans[t]
+            j.head = self._reach(insides[j.left], j.words, True) if j.left >= 0 else 0
+            j.tail = self._reach(insides[j.right], j.words, False) if j.right >= 0 else 0
+            keys.append((raw[j.start - j.head : j.end + j.tail], j.head, j.tail))
+        fresh = list(dict.fromkeys(k for k in keys if k not in self.joints))
+        for (x, head, tail), got in zip(fresh, self._encode([k[0] for k in fresh]), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            first = last = 0
+            if head or tail:
+                text_head, text_end = len(x[:head].decode("utf-8")), len(x[: len(x) - tail].decode("utf-8"))
+                offsets = np.array(got.offsets, np.int64).reshape(-1, 2)
+                first, last = int((offsets[:, 1] <= text_head).sum()) if head else 0, int((offsets[:, 0] >= text_end).sum()) if tail else 0
+            self.joints[x, head, tail] = ids[:first], ids[first : len(ids) - last], ids[len(ids) - last :]
+            self.held += len(x) + 4 * len(ids) + 400
+        again = []
+        for (t, j), key in zip(todo, keys, strict=True):
+            before, middle, behind = self.joints[key]
+            insides = plans[t][1]
+            left = self.chunks[insides[j.left]] if j.left >= 0 else before
+            right = self.chunks[insides[j.right]] if j.right >= 0 else behind
+            if np.array_equal(left[len(left) - len(before) :], before) and np.array_equal(right[: len(behind)], behind):
+                self.repaired_joints += 1
+                parts[t][2 * (j.right if j.right >= 0 else len(insides))] = middle
+            elif j.words <= len(plans[t][0]):
+                self.grown_joints += 1
+                j.words *= 2
+                again.append((t, j))
+            else:
+                raise ValueError("a chunk's ids are not those of its text")
+        return again
 
 
 _CODECS: dict[str, ChunkCodec] = {}
@@ -344,7 +236,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 counts.append(len(packed))
                 ids.append(hashlib.sha256(packed.astype("<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(packed)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], schema=schema)
 
     return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
@@ -361,6 +253,6 @@ def bpe_encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for packed in codec.encode_many([x or "" for x in part.column(1).to_pylist()]):
                 ids.append(packed.astype(np.int32))
                 decoded.append(codec.decode(packed).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], schema=schema)
 
     return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded string")

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from kvlake.llm import bpe
 
-DOCS = "doc_id bigint, text string, lang string, n_tokens int"
+DOCS = "doc_id bigint, text string, ids_sha256 string, n_tokens int"
 
 
 def expected(library, text):
@@ -37,21 +37,69 @@ def test_capitals_whose_lower_case_lies_beyond_the_pattern():
         assert ids.tolist() == expected(library, text)[0], text
 
 
+def test_scripts_quotes_and_emoji_take_the_same_way():
+    rng = random.Random(9)
+    codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    words = ["“curly”", "it’s", "naïve—dash", "日本語のテキスト。", "Привет", "👩\u200d👩\u200d👧 🎉", "ﬁx", "e\u0301a", "क्षि", "\u2000x\u3000y", "가나", "ΣΑΣ", "plain", "O'Neil's", "x" * 40, "<|endoftext|>", "a<|startoftext|>b", "\u0301"]
+    passage = " ".join(rng.choice(words) for _ in range(3000))
+    texts = [f"{k} {passage}" for k in range(4)] + ["".join(rng.choice(words) for _ in range(4000)), "日" * 30_000, " " * 5000 + "é" * 700]
+    for text, ids in zip(texts, codec.encode_many(texts, at_once=40_000), strict=True):
+        assert ids.tolist() == expected(library, text)[0]
+    assert codec.reused_chunks > 60
+
+
 def test_chunks_are_reused_and_joints_repaired():
     rng = random.Random(5)
-    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 12))) for _ in range(2000))
+    passage = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 12))) for _ in range(4000))
     texts = [f"{rng.random()} head{k} {passage}{k} tail" for k in range(6)] + ["x" * 50_000, ""]
     codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
-    for text, ids in zip(texts, codec.encode_many(texts, at_once=15_000), strict=True):
+    for text, ids in zip(texts, codec.encode_many(texts, at_once=25_000), strict=True):
         assert ids.tolist() == expected(library, text)[0]
-    assert codec.reused_chunks > codec.encoded_chunks
+    assert codec.reused_chunks > 3 * codec.encoded_chunks and codec.repaired_joints > 100
+
+
+def test_cuts_follow_the_content():
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(2, 12))) for _ in range(5000)).encode()
+    codec = bpe.ChunkCodec(bpe.tokenizer_path())
+    for raw in (passage, b"some words before " + passage, "é".encode() * 100_000, b"x", b""):
+        ends = codec.cuts(raw)
+        assert ends == sorted(set(ends)) and (ends[-1:] == [len(raw)] or not raw)
+        assert all(b - a <= bpe.MOST_CHUNK + 3 for a, b in zip([0, *ends], ends, strict=False))
+        assert "".join(raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)) == raw.decode()
+    chunks = lambda raw: {raw[a:b] for a, b in zip([0, *codec.cuts(raw)], codec.cuts(raw), strict=False)}
+    assert len(chunks(passage) & chunks(b"other beginning, " + passage)) > 0.9 * len(chunks(passage))
+
+
+def test_a_wrong_join_is_seen_and_grown():
+    codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    text = " ".join(f"word{k} number{k * k}" for k in range(400))
+    codec.encode(text)
+    real = dict(codec.joints)
+    for x, head, tail in list(codec.joints):
+        before, middle, behind = codec.joints[x, head, tail]
+        codec.joints[x, head, tail] = before + 1, middle, behind
+    assert codec.encode(text).tolist() == expected(library, text)[0] and codec.grown_joints > 0 and len(codec.joints) > len(real)
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+def test_strings_made_to_collide_are_told_apart():
+    codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    for n in (1024, 2048, 4096):
+        texts = [f"x {thue_morse(n)} y", f"x {thue_morse(n, True)} y"]
+        for text, ids in zip(texts, codec.encode_many(texts), strict=True):
+            assert ids.tolist() == expected(library, text)[0]
 
 
 def test_caches_are_bounded():
-    codec, library = bpe.ChunkCodec(bpe.tokenizer_path(), most_words=50, most_chunk_ids=100), Tokenizer.from_file(bpe.tokenizer_path())
+    codec, library = bpe.ChunkCodec(bpe.tokenizer_path(), most_bytes=3000), Tokenizer.from_file(bpe.tokenizer_path())
     for k in range(20):
-        text = " ".join(f"word{k}x{i}" for i in range(40))
+        text = " ".join(f"word{k}x{i}" for i in range(400))
         assert codec.encode(text).tolist() == expected(library, text)[0]
+        assert codec.held < 60_000
 
 
 def test_query_with_nulls_repeats_and_extra_columns(spark):
