@@ -1,19 +1,32 @@
 """Main text of web pages by composite text density.
 
 Each page becomes a tree of elements (unclosed and misnested tags are mended as
-browsers do for paragraphs, list items and table cells). What a page's own
-markup names as menu, header, footer, sidebar, notice, advert, form, script,
-style or reader comments is cut off first. For every node left, the composite
-density is its characters per tag, lowered by the share of its characters and
-tags that lie in links. Nodes are valued by the sum of their children's
-densities; the node of greatest sum is the article's root. The least density on
-its path to the body is the threshold for stretches beside that path: one that
-reaches it, with little link text, is taken in too, and so are headings that
-stand before the root. Inside, only link lists are left out.
+browsers do for paragraphs, list items and table cells; references are decoded
+within one text, never across a tag). For every node the composite density is its
+characters per tag, lowered by the share of its characters and tags that lie in
+links. A block's sum is that of the densities of the blocks right below it. The
+block of greatest sum is the article's root. The least density on its path to
+the body is the threshold for blocks beside that path: one that reaches it, with
+little link text, is taken in too, and so are headings that stand before the root.
+Inside the root, blocks of links are left out, as their density is nothing.
+
+Scripts, styles and the like hold no text and go first, and so do menus, headers,
+footers, sidebars and forms that their own tag names (nav, header, footer, aside,
+form and controls), unless they hold a first heading, an article or a main element, or, on
+a page that has none of these, half of its text. Other marks are
+evidence and weigh densities only: what such a tag holds counts little, what
+article or main holds counts more, and a name in class, id or role counts against
+a block unless it holds a first heading or a main element. A named block is left
+out if it lies inside or beside the root, never if it holds the root; names that
+would take more than half of the root's text are not believed, but for those of
+comments, adverts, menus and the like (SURE).
 
 Defined cases: null, empty or textless html gives the empty text; a page without
-tags is one block; null or repeated ids and urls are carried along; pages of any
-length are read whole and nesting of any depth is handled without recursion.
+tags is one block; ties of sums go to the node that comes later in the page; null,
+repeated ids and repeated pages are extracted row by row; an empty table gives an
+empty one; other columns, whatever their names, are not read and not returned;
+pages of any length are read whole and nesting of any depth is handled without
+recursion.
 """
 
 from __future__ import annotations
@@ -29,14 +42,20 @@ from pyspark.sql import DataFrame
 from kvlake.llm.common import map_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CUT = frozenset("nav footer aside form script style noscript template iframe button select option input textarea head title menu dialog svg math object audio video canvas noembed noframes label fieldset".split())
-#: Words of class, id and role that name what is no article.
-NAMED = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended recommendations newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion widget toolbar pagination pager search contentinfo complementary skip".split())
+#: Elements without text of the page itself.
+SILENT = RAW | frozenset("head object audio video canvas".split())
+#: Menus, headers, footers, sidebars and forms by tag.
+BESIDE = frozenset("nav menu header footer aside form button select option dialog".split())
+#: Words of class, id and role that speak against a block.
+SURE = frozenset("ad ads advert adverts advertisement advertising sponsored cookie cookies consent gdpr sidebar nav navbar navigation breadcrumb breadcrumbs footer newsletter pagination comment comments commentlist respond disqus".split())
+NAMED = SURE | frozenset("sponsor promo promotion banner notice notices notification alert popup modal overlay aside menu menus header masthead topbar share sharing social related recommended recommendations subscribe subscription signup login reply replies discussion widget toolbar pager search contentinfo complementary skip".split())
+BESIDE_WEIGHT, NAMED_WEIGHT, MAIN_WEIGHT = 0.05, 0.2, 3.0
 _CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "legend", "caption"}
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_OF_HEAD = frozenset("head title meta link style script base noscript template".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -84,7 +103,7 @@ class Tree:
             if lt < 0:
                 lt = n
             if lt > at:
-                self.items[stack[-1]].append(page[at:lt])
+                self.items[stack[-1]].append(_text(page[at:lt]))
             if lt == n:
                 break
             two = page[lt + 1 : lt + 2]
@@ -97,7 +116,7 @@ class Tree:
                     at = n if end < 0 else end + 1
                 continue
             if lt > last:  # no tag can end any more
-                self.items[stack[-1]].append(page[lt:])
+                self.items[stack[-1]].append(_text(page[lt:]))
                 break
             m = _TAG.match(page, lt) or _LOOSE.match(page, lt)
             if not m:
@@ -132,109 +151,146 @@ class Tree:
                 close(HEADINGS, BLOCK - HEADINGS)
             if tag in _SIBLINGS:
                 close(*_SIBLINGS[tag])
-            if tag == "body":
+            if tag not in _OF_HEAD:
                 close({"head"}, set())
             stack.append(self._open(tag, attrs, stack[-1]))
             open_count[tag] = open_count.get(tag, 0) + 1
 
 
-def _cut(tree: Tree) -> list[bool]:
-    """Which nodes are no article, by tag or by name; what lies below them goes too."""
-    n = len(tree.tag)
-    holds, inside = [False] * n, [False] * n
-    for k in range(n - 1, 0, -1):
-        if holds[k] or tree.tag[k] in ("article", "main"):
-            holds[tree.parent[k]] = True
-    out = [False] * n
-    for k in range(1, n):
-        up, tag = tree.parent[k], tree.tag[k]
-        inside[k] = inside[up] or tag in ("article", "main")
-        if out[up]:
-            out[k] = True
-        elif tag in CUT:
-            out[k] = not holds[k] or tag in RAW
-        elif tag in ("article", "main", "html", "body") or holds[k]:
-            continue
-        elif tag == "header":
-            out[k] = not inside[k]
-        elif tree.attrs[k]:
-            if _HIDDEN.search(tree.attrs[k]):
-                out[k] = True
-            elif tag not in HEADINGS:
-                for m in _NAMES.finditer(tree.attrs[k]):
-                    names = set(_WORDS.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()))
-                    out[k] = out[k] or not names.isdisjoint(NAMED)
-    return out
-
-
 def _text(raw: str) -> str:
     return entities.unescape(raw) if "&" in raw else raw
 
 
+def _names(attrs: str) -> set[str]:
+    """Words of class, id and role."""
+    return {w for m in _NAMES.finditer(attrs) for w in _WORDS.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower())}
+
+
+class Marks:
+    """What tags and names say of each node."""
+
+    def __init__(self, tree: Tree):
+        n = len(tree.tag)
+        self.main = [False] * n  # holds, or is, a first heading or a main element
+        self.named, self.sure = [False] * n, [False] * n
+        for k in range(1, n):
+            if tree.attrs[k] and tree.tag[k] not in HEADINGS:
+                words = _names(tree.attrs[k])
+                self.named[k], self.sure[k] = not words.isdisjoint(NAMED), not words.isdisjoint(SURE)
+        for k in range(n - 1, 0, -1):
+            if self.main[k] or tree.tag[k] in ("main", "h1") or (tree.tag[k] == "article" and not self.named[k]):
+                self.main[k] = True
+                self.main[tree.parent[k]] = True
+        self.silent = [False] * n
+        article = [False] * n
+        self.beside = [False] * n
+        for k in range(1, n):
+            up, tag = tree.parent[k], tree.tag[k]
+            article[k] = article[up] or tag in ("article", "main")
+            self.silent[k] = self.silent[up] or tag in SILENT or (not self.main[k] and bool(tree.attrs[k]) and bool(_HIDDEN.search(tree.attrs[k])))
+            self.beside[k] = tag in BESIDE and not self.main[k] and not (tag == "header" and article[up])
+            self.named[k] &= not self.main[k]
+            self.sure[k] &= not self.main[k]
+
+    def weights(self, tree: Tree) -> list[float]:
+        """How much the density of each node counts: the product of all marks from the top down."""
+        out = [1.0] * len(tree.tag)
+        for k in range(1, len(out)):
+            own = MAIN_WEIGHT if tree.tag[k] in ("article", "main") else 1.0
+            out[k] = out[tree.parent[k]] * own * (BESIDE_WEIGHT if self.beside[k] else 1.0) * (NAMED_WEIGHT if self.named[k] else 1.0)
+        return out
+
+
+class Measures:
+    """Characters and tags below each node, and those of them in links; nodes of ``gone`` count nothing."""
+
+    def __init__(self, tree: Tree, gone: list[bool]):
+        n = len(tree.tag)
+        self.chars, self.tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for k in range(n - 1, -1, -1):
+            if gone[k]:
+                continue
+            self.chars[k] += sum(len(x.strip()) for x in tree.items[k] if isinstance(x, str))
+            if tree.tag[k] == "a":
+                self.link_chars[k], self.link_tags[k] = self.chars[k], self.tags[k] + 1
+            if k:
+                up = tree.parent[k]
+                self.chars[up] += self.chars[k]
+                self.tags[up] += self.tags[k] + 1
+                self.link_chars[up] += self.link_chars[k]
+                self.link_tags[up] += self.link_tags[k]
+
+    def density(self, k: int, share: float) -> float:
+        """Composite density; ``share`` is the body's share of link characters."""
+        c, lc, t, lt = self.chars[k], self.link_chars[k], max(1, self.tags[k]), self.link_tags[k]
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        ratio = c / max(1, lc) * (t / max(1, lt))
+        return c / t * math.log(max(ratio, 1.0001)) / base
+
+
+def sums(tree: Tree, dense: list[float], weights: list[float]) -> list[float]:
+    """The weighted densities of the blocks right below each node; other elements hand on those of their own."""
+    out = [0.0] * len(tree.tag)
+    for k in range(len(out) - 1, 0, -1):
+        out[tree.parent[k]] += weights[k] * dense[k] if tree.tag[k] in BLOCK else out[k]
+    return out
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, joined by blank lines."""
     if not page:
         return ""
     tree = Tree(page)
     n = len(tree.tag)
-    cut = _cut(tree)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for k in range(n - 1, -1, -1):
-        if cut[k]:
-            continue
-        chars[k] += sum(len(x.strip()) for x in tree.items[k] if isinstance(x, str))
-        if tree.tag[k] == "a":
-            link_chars[k], link_tags[k] = chars[k], tags[k] + 1
-        if k:
-            up = tree.parent[k]
-            chars[up] += chars[k]
-            tags[up] += tags[k] + 1
-            link_chars[up] += link_chars[k]
-            link_tags[up] += link_tags[k]
-    body = next((k for k in range(n) if tree.tag[k] == "body" and not cut[k]), 0)
+    marks = Marks(tree)
+    gone = list(marks.silent)
+    every = Measures(tree, gone)
+    plain = every.chars[0] - every.link_chars[0]
+    for k in range(1, n):
+        gone[k] |= gone[tree.parent[k]] or (marks.beside[k] and (marks.main[0] or 2 * (every.chars[k] - every.link_chars[k]) < plain))
+    m = Measures(tree, gone)
+    chars, link_chars = m.chars, m.link_chars
+    body = next((k for k in range(n) if tree.tag[k] == "body" and not gone[k]), 0)
     if chars[body] < chars[0]:
         body = 0  # text outside the body element
     share = link_chars[body] / max(1, chars[body])
-
-    def density(k: int) -> float:
-        c, lc, t, lt = chars[k], link_chars[k], max(1, tags[k]), link_tags[k]
-        if not c:
-            return 0.0
-        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-        ratio = c / max(1, lc) * (t / max(1, lt))
-        return c / t * math.log(max(ratio, 1.0001)) / base
-
-    dense = [0.0 if cut[k] else density(k) for k in range(n)]
-    total = [0.0] * n
-    for k in range(n - 1, 0, -1):
-        if not cut[k]:
-            total[tree.parent[k]] += dense[k]
-    root = max((k for k in range(body, n) if not cut[k] and chars[k] and tree.tag[k] in BLOCK | {"#root"}), key=lambda k: (total[k], k), default=-1)
+    weights = marks.weights(tree)
+    dense = [0.0 if gone[k] else m.density(k, share) for k in range(n)]
+    total = sums(tree, dense, weights)
+    root = max((k for k in range(body, n) if not gone[k] and chars[k] and tree.tag[k] in BLOCK | {"#root"}), key=lambda k: (total[k], k), default=-1)
     if root < 0:
         return ""
     if not total[root]:
-        root = body  # bare text: no node has children with text
+        root = body  # bare text: no block holds blocks with text
     path = [root]
     while path[-1] not in (body, 0):
         path.append(tree.parent[path[-1]])
-    # an article or main element on the path is the whole article
-    root = next((k for k in reversed(path) if tree.tag[k] == "article"), root)
-    threshold = min(dense[k] for k in path[path.index(root) :])
+    threshold = min(dense[k] for k in path)
     keep = [False] * n
     keep[root] = True
     below = root
-    for up in path[path.index(root) + 1 :]:
+    for up in path[1:]:
         for k in tree.items[up]:
-            if isinstance(k, int) and k != below and not cut[k] and chars[k]:
-                dense_text = dense[k] >= threshold and 3 * link_chars[k] < chars[k] and tree.tag[k] not in ("a", "span")
-                keep[k] = dense_text or (k < below and tree.tag[k] in HEADINGS)
+            if isinstance(k, int) and k != below and not gone[k] and chars[k]:
+                heading = k < below and tree.tag[k] in HEADINGS
+                text = tree.tag[k] in BLOCK and not marks.sure[k] and dense[k] * weights[k] >= threshold * weights[up] and 3 * link_chars[k] < chars[k]
+                keep[k] = heading or text
         below = up
+    inside = [False] * n
+    for k in range(root + 1, n):
+        inside[k] = tree.parent[k] == root or inside[tree.parent[k]]
+    outer = [k for k in range(n) if inside[k] and marks.named[k] and not marks.named[tree.parent[k]] and not gone[k] and tree.tag[k] in BLOCK]
+    believed = 2 * sum(chars[k] for k in outer if not marks.sure[k]) <= chars[root]
     for k in range(1, n):
-        if cut[k]:
+        if gone[k]:
             keep[k] = False
         elif not keep[k] and keep[tree.parent[k]]:
-            links = tree.tag[k] in BLOCK and link_tags[k] > 1 and 2 * link_chars[k] > chars[k]
-            keep[k] = not links
+            block = tree.tag[k] in BLOCK
+            links = block and m.link_tags[k] > 1 and 2 * link_chars[k] > chars[k]
+            against = block and (marks.sure[k] or (marks.named[k] and believed))
+            keep[k] = not links and not against
     return _blocks(tree, keep)
 
 
@@ -242,7 +298,7 @@ def _blocks(tree: Tree, keep: list[bool]) -> str:
     blocks, run = [], []
 
     def end_block() -> None:
-        text = " ".join(_text("".join(run)).split())
+        text = " ".join("".join(run).split())
         if text:
             blocks.append(text)
         run.clear()

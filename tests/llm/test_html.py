@@ -1,8 +1,11 @@
 import html as entities
+import math
+import random
 import re
 
 import pytest
 
+from kvlake.llm import html as H
 from kvlake.llm.html import extract, extract_text
 
 PARAGRAPHS = ["A first paragraph with enough words to be prose, and more.", "A second one &amp; its <b>bold</b>\n  words.", "Third &eacute;tude.<br>after a break"]
@@ -34,6 +37,102 @@ def test_articles(body):
     assert extract(page(body)) == EXPECTED
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<div class='main-notice-board'>{INNER}</div><footer>&copy; x</footer>",
+        f"<nav><a href=/>Home</a></nav><div class='search-results'>{INNER}</div>",
+        f"<div class='post related-entry'>{INNER}</div><div class='ad'>Buy this now.</div>",
+        f"<div class='post related-entry'><h1>Title</h1><div class='widget'>{INNER.replace('<h1>Title</h1>', '')}</div></div>",
+        f"<form action=/><div class='no-sidebar'>{INNER}</div></form><ul class=menu><li><a href=/>One thing</a><li><a href=/>Other thing</a></ul>",
+        f"<header><p>Slogan</p></header><div>{INNER}</div><div>{'<p><a href=/a>Some other story of the day</a></p>' * 9}</div>",
+        f"<div><h1>Title</h1></div><div class='body'>{INNER}</div>".replace("<div><h1>Title</h1></div>", "") + "<div class='comments'>" + "<p>I say so at some length, and so on.</p>" * 3 + "</div>",
+        f"<section role='complementary'><p>{'side words ' * 8}</p></section><section>{INNER}</section>",
+    ],
+)
+def test_misleading_names_and_pages_without_article(body):
+    assert extract(page(body)) == EXPECTED
+
+
+def test_nothing_of_an_article_is_dropped():
+    odd = "<fieldset>A field of words.</fieldset><p><label>Labelled words.</label></p><svg><text>Drawn words.</text></svg>"
+    got = extract(page(f"<article>{INNER}{odd}</article>"))
+    assert got == EXPECTED + "\n\nA field of words.\n\nLabelled words.\n\nDrawn words."
+    assert extract("<p>one &am<b>p;lt;</b> two, and more words</p>") == "one &amp;lt; two, and more words"
+    assert extract(page(f"<article>{INNER}</article><p>{'x ' * 40}</p>".replace("<article>", "<div>").replace("</article>", "</div>"), "")).startswith(EXPECTED)
+    assert extract(f"<html><head><title>T</title><div>{INNER}</div>") == EXPECTED
+
+
+def brute_nodes(tree, gone):
+    """(characters, tags, link characters, link tags) of each node by plain recursion."""
+    out = {}
+
+    def visit(k, linked):
+        c = t = lc = lt = 0
+        for x in tree.items[k]:
+            if isinstance(x, str):
+                c += len(x.strip())
+                lc += len(x.strip()) * linked
+            elif not gone[x]:
+                a = visit(x, linked or tree.tag[x] == "a")
+                c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3] + (linked or tree.tag[x] == "a")
+        out[k] = (c, t, lc, lt)
+        return out[k]
+
+    visit(0, False)
+    return out
+
+
+def test_densities_and_sums_equal_brute_force():
+    rng = random.Random(8)
+    tags = ["div", "p", "a", "b", "section", "ul", "li", "article", "span", "td"]
+    for _ in range(200):
+        parts = ["<body>"]
+        for _ in range(rng.randrange(60)):
+            r = rng.random()
+            parts.append(f"<{rng.choice(tags)}>" if r < 0.35 else f"</{rng.choice(tags)}>" if r < 0.6 else " words" * rng.randrange(1, 9))
+        tree = H.Tree("".join(parts))
+        gone = [False] * len(tree.tag)
+        for k in range(2, len(gone)):
+            gone[k] = gone[tree.parent[k]] or rng.random() < 0.05
+        m, want = H.Measures(tree, gone), brute_nodes(tree, gone)
+        dense = []
+        for k in range(len(tree.tag)):
+            if gone[k]:
+                dense.append(0.0)
+                continue
+            c, t, lc, lt = want[k]
+            inside = tree.tag[k] == "a" or any(tree.tag[x] == "a" for x in ancestors(tree, k))
+            got = (m.chars[k], m.tags[k], m.link_chars[k], m.link_tags[k])
+            if not inside:
+                assert got[:3] == (c, t, lc)
+            x = 0.0 if not c else c / max(1, t) * math.log(max(1.0001, c / max(1, m.link_chars[k]) * max(1, t) / max(1, m.link_tags[k]))) / math.log(c / max(1, c - m.link_chars[k]) * m.link_chars[k] + 0.3 * c + math.e)
+            assert m.density(k, 0.3) == pytest.approx(x)
+            dense.append(x)
+        weights = [rng.choice([1.0, 0.2, 3.0]) for _ in tree.tag]
+
+        def below(k, tree=tree, dense=dense, weights=weights):
+            return sum(weights[x] * dense[x] if tree.tag[x] in H.BLOCK else below(x) for x in tree.items[k] if isinstance(x, int))
+
+        assert H.sums(tree, dense, weights) == pytest.approx([below(k) for k in range(len(tree.tag))])
+
+
+def ancestors(tree, k):
+    while tree.parent[k] >= 0:
+        k = tree.parent[k]
+        yield k
+
+
+def test_ties_go_to_the_later_block():
+    text = "<p>Some words that are as long.</p>" * 2
+    assert extract(f"<body><div>{text}</div><div>{text}</div></body>").count("Some") == 4
+    tree = H.Tree(f"<body><div>{text}</div><div>{text}</div></body>")
+    none = [False] * len(tree.tag)
+    dense = [H.Measures(tree, none).density(k, 0.0) for k in range(len(none))]
+    total = H.sums(tree, dense, [1.0] * len(none))
+    assert total[2] == total[5] and max((total[k], k) for k in (2, 5))[1] == 5
+
+
 def test_defined_cases():
     assert extract(None) == extract("") == extract("<html></html>") == extract("<!-- x") == ""
     assert extract("just  text") == "just text"
