@@ -2,9 +2,10 @@
 
 A text is cut where a rolling hash of its last bytes hits a pattern, so that
 equal passages of different documents give equal chunks. A chunk's inside, from
-its first to its last white space, is encoded once by the tokenizer and reused
-wherever the same bytes come again; chunks are told apart by their bytes, not by
-a hash.
+its first to its last white space, is encoded once and reused wherever the same
+bytes come again; chunks are told apart by their bytes, not by a hash. Encoding
+an inside asks the tokenizers library for each word that has not been met lately
+and joins the words' ids.
 
 What lies around a cut, from the last white space before it to the first one
 behind it, is a joint. It is encoded anew together with the last whole word of
@@ -67,9 +68,9 @@ class Joint:
 
 
 class ChunkCodec:
-    """Encoder and decoder of one worker; what it keeps of chunks and joints is bounded by ``most_bytes``."""
+    """Encoder and decoder of one worker; what it keeps is bounded by ``most_bytes`` of chunks and joints and ``most_words``."""
 
-    def __init__(self, path: str, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most_bytes: int = 48 << 20, most_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -82,7 +83,8 @@ class ChunkCodec:
         self.name_first = np.cumsum(self.name_count) - self.name_count
         self.rolling = Rolling()
         self.byte_hash = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
-        self.most_bytes, self.held = most_bytes, 0
+        self.most_bytes, self.held, self.most_words = most_bytes, 0, most_words
+        self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, np.ndarray] = {}
         self.joints: dict[tuple[bytes, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.encoded_chunks = self.reused_chunks = self.repaired_joints = self.grown_joints = 0
@@ -124,6 +126,20 @@ class ChunkCodec:
             out.append(n)
         return out
 
+    def _insides(self, raws: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of stretches that begin and end with white space."""
+        split = [x.split() for x in raws]
+        if len(self.words) > self.most_words:
+            self.words.clear()
+        new = list({w for some in split for w in some}.difference(self.words))
+        for w, got in zip(new, self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
+            self.words[w] = np.array(got.ids, "<u4").tobytes()
+        for some in split:
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, some)), "<u4")
+        for w in new:
+            if len(w) > 64:
+                del self.words[w]
+
     def _encode(self, raws: list[bytes]) -> list:
         return self.library.encode_batch([x.decode("utf-8") for x in raws], add_special_tokens=False)
 
@@ -134,9 +150,9 @@ class ChunkCodec:
             self.held = 0
         plans = [self._plan(x.encode("utf-8")) for x in texts]
         fresh = list(dict.fromkeys(x for _, insides, _ in plans for x in insides if x is not None and x not in self.chunks))
-        for x, ids in zip(fresh, self.library.encode_batch_fast([x.decode("utf-8") for x in fresh], add_special_tokens=False), strict=True):
-            self.chunks[x] = np.array(ids.ids, np.uint32)
-            self.held += len(x) + 4 * len(self.chunks[x]) + 200
+        for x, ids in zip(fresh, self._insides(fresh), strict=True):
+            self.chunks[x] = ids
+            self.held += len(x) + 4 * len(ids) + 200
         self.encoded_chunks += len(fresh)
         self.reused_chunks += sum(x is not None for _, insides, _ in plans for x in insides) - len(fresh)
         parts: list[list] = [[None] * (2 * len(insides) + 1) for _, insides, _ in plans]
