@@ -59,6 +59,16 @@ def test_equals_brute_force(spark):
     assert jaccard.similar_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
+
+
+def test_words_made_to_collide_are_told_apart():
+    for n in (1024, 2048, 4096):
+        a, b = (set(jaccard.shingles(f"{thue_morse(n, x)} one two three four five").tolist()) for x in (False, True))
+        assert len(a) == len(b) == 2 and len(a & b) == 1
+
+
 def test_list_pairs_lose_nothing():
     rng = np.random.default_rng(5)
     for _ in range(30):
