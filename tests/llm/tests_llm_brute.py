@@ -29,7 +29,7 @@ def leaks_brute(text, bench, rate=0.2):
     for _, item in bench:
         own = decontam.words_of(item)
         limit = int(rate * len(own) + 1e-9)
-        if len(own) < decontam.MIN_WORDS or sum(w not in known for w in own) > limit:
+        if not own or sum(w not in known for w in own) > limit:
             continue
         row = [0] * (len(words) + 1)
         for k, a in enumerate(own, 1):
