@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 
 from kvlake.llm.common import Rolling, map_batches
 
-WINDOW, MASK = 16, np.uint64(0x1FF)
+WINDOW, MASK = 16, np.uint64(0x3FF)
 LEAST_CHUNK, MOST_CHUNK = 128, 16_384
 _BLANKS = b" \t\n\v\f\r"
 
@@ -85,6 +86,7 @@ class ChunkCodec:
         self.byte_hash = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
         self.most_bytes, self.held, self.most_words = most_bytes, 0, most_words
         self.words: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, np.ndarray] = {}
         self.joints: dict[tuple[bytes, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.encoded_chunks = self.reused_chunks = self.repaired_joints = self.grown_joints = 0
@@ -130,16 +132,25 @@ class ChunkCodec:
         """The ids of stretches that begin and end with white space."""
         split = [x.split() for x in raws]
         if len(self.words) > self.most_words:
-            self.words.clear()
-        new = list({w for some in split for w in some}.difference(self.words))
-        for w, got in zip(new, self.library.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            self.words[w] = np.array(got.ids, "<u4").tobytes()
+            self.words, self.before = {}, self.words
+        new = set()
         for some in split:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, some)), "<u4")
+            new.update(some)
+        new.difference_update(self.words)
+        kept = new.intersection(self.before)
+        self.words.update(zip(kept, map(self.before.__getitem__, kept)))
+        self.words.update(self._each(list(new - kept)))
+        for some in split:
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, some)), np.uint32)
         for w in new:
             if len(w) > 64:
                 del self.words[w]
 
+    def _each(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words with their ids."""
+        found = self.library.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
+        return zip(words, [array("I", x.ids).tobytes() for x in found], strict=True)
+
     def _encode(self, raws: list[bytes]) -> list:
         return self.library.encode_batch([x.decode("utf-8") for x in raws], add_special_tokens=False)
 

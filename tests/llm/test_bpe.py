@@ -45,7 +45,7 @@ def test_scripts_quotes_and_emoji_take_the_same_way():
     texts = [f"{k} {passage}" for k in range(4)] + ["".join(rng.choice(words) for _ in range(4000)), "日" * 30_000, " " * 5000 + "é" * 700]
     for text, ids in zip(texts, codec.encode_many(texts, at_once=40_000), strict=True):
         assert ids.tolist() == expected(library, text)[0]
-    assert codec.reused_chunks > 60
+    assert codec.reused_chunks > 30
 
 
 def test_chunks_are_reused_and_joints_repaired():
@@ -55,7 +55,7 @@ def test_chunks_are_reused_and_joints_repaired():
     codec, library = bpe.ChunkCodec(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
     for text, ids in zip(texts, codec.encode_many(texts, at_once=25_000), strict=True):
         assert ids.tolist() == expected(library, text)[0]
-    assert codec.reused_chunks > 3 * codec.encoded_chunks and codec.repaired_joints > 100
+    assert codec.reused_chunks > 2 * codec.encoded_chunks and codec.repaired_joints > 100
 
 
 def test_cuts_follow_the_content():
