@@ -251,7 +251,7 @@ class Index:
             least = next((r + 1 + (r + 1) // 4 for r, found in enumerate(self._met(window, trials, chosen)) if found >= target), MOST_REPEATS + 1)
             for r, found in enumerate(self._met(window, fresh, chosen) if least <= MOST_REPEATS else ()):
                 if r + 1 >= least and found >= target:
-                    self.chosen[window], self.repeats[window], self.recall[window] = chosen, r + 1, found
+                    self.chosen[window], self.repeats[window], self.recall[window] = chosen, min(MOST_REPEATS, r + 1 + (r + 1) // 4), found
                     return
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
