@@ -3,9 +3,10 @@
 Every language has its own model of orders 1 to ``ORDER`` over the letters of
 words, with the ends of a word as symbols. The models are fitted on a bounded
 sample of labelled rows. An n-gram is a 64-bit hash; for each order the hashes of
-all languages stand in one sorted array beside a matrix with one column per
-language: discounted continuation probability and back-off weight. A word's
-cross-entropies under all languages come from one walk through the arrays, and
+all languages stand in one sorted array, each with the list of the languages that
+hold it and their values: discounted continuation probability, or back-off weight.
+So the models grow with the n-grams of each language, not with n-grams times
+languages. A word's cross-entropies under all languages come from one walk through the arrays, and
 each distinct word of a batch is walked once. A text gets the language of lowest
 cross-entropy per character; the score is the calibrated probability of that
 language, and ``accepted`` tells whether the text passes the rejection limit of
@@ -13,13 +14,15 @@ its language: the cross-entropy that all but 1 in 200 held-back training texts
 stay below.
 
 Fitting takes whole rows whose hash is smallest (about ``train_chars``
-characters a language, rows up to ``LONGEST`` characters, the MOST_LANGS most
-frequent languages) and never looks at
-held-out rows, at source or at doc_id other than for this choice.
+characters a language and TOTAL_CHARS in all, rows up to ``LONGEST`` characters, the
+MOST_LANGS most frequent languages) and never looks at held-out rows, at source or
+at doc_id other than for this choice.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 without any labelled row everything is ``und``; ties go to the first language by
-name; null and repeated ids are predicted row by row (a null id is not held out).
+name; null and repeated ids are predicted row by row (a null id is not held out);
+texts and words of any length are scored whole; an empty table gives an empty one;
+other columns, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from kvlake.llm.common import crc_mod, map_batches, mix
 
 ORDER = 5
 LONGEST = 40_000
-MOST_LANGS = 200
+MOST_LANGS, TOTAL_CHARS = 200, 4_000_000
 PIECE = 10_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +90,45 @@ def _left_hash(words: list[str]) -> list[np.ndarray]:
     return out
 
 
+class Values:
+    """Values of several languages by hash: sorted hashes, each with a list of languages and their values."""
+
+    BITS = 18
+
+    def __init__(self, store: dict[int, tuple[np.ndarray, np.ndarray]], langs: int, absent: float):
+        """store: language -> its hashes and their values; languages that lack a hash have the value ``absent``."""
+        key = np.concatenate([np.zeros(0, np.uint64), *[v[0] for v in store.values()]])
+        lang = np.concatenate([np.zeros(0, np.int16), *[np.full(len(v[0]), k, np.int16) for k, v in store.items()]])
+        value = np.concatenate([np.zeros(0, np.float32), *[v[1] for v in store.values()]])
+        order = np.lexsort((lang, key))
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.first = np.append(first, len(order)).astype(np.int64)
+        self.lang, self.value = lang[order], value[order].astype(np.float32)
+        self.langs, self.absent = langs, absent
+        # where each range of leading bits begins; hashes are uniform, so ranges are short
+        heads = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
+        self.edges = np.searchsorted(self.keys, heads).astype(np.int32)
+        self.widest = int(np.diff(np.append(self.edges, len(self.keys))).max())
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """Hash, language -> value."""
+        out = np.full((len(wanted), self.langs), self.absent, np.float32)
+        if not len(self.keys):
+            return out
+        begin = self.edges[(wanted >> np.uint64(64 - self.BITS)).astype(np.int64)].astype(np.int64)
+        at = np.full(len(wanted), -1, np.int64)
+        for step in range(self.widest):
+            here = np.minimum(begin + step, len(self.keys) - 1)
+            at = np.where(self.keys[here] == wanted, here, at)
+        row = np.flatnonzero(at >= 0)
+        at = at[row]
+        count = self.first[at + 1] - self.first[at]
+        ends = np.cumsum(count)
+        item = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[at] - (ends - count), count)
+        out[np.repeat(row, count), self.lang[item]] = self.value[item]
+        return out
+
+
 class KneserNey:
     """Models of several languages in shared sorted hash arrays."""
 
@@ -98,17 +140,8 @@ class KneserNey:
             words = list(samples[lang])
             if words:
                 self._count(k, words, np.fromiter(samples[lang].values(), np.float64, len(words)), grams, contexts)
-        n_langs = len(self.langs)
-        self.gram_keys, self.gram_p, self.ctx_keys, self.ctx_back = [], [], [], []
-        for n in range(ORDER):
-            for store, keys_out, rows_out, fill in ((grams[n], self.gram_keys, self.gram_p, 0.0), (contexts[n], self.ctx_keys, self.ctx_back, 1.0)):
-                keys = np.unique(np.concatenate([v[0] for v in store.values()])) if store else np.zeros(0, np.uint64)
-                rows = np.full((len(keys) + 1, n_langs), fill, np.float32)  # the last row is for what is absent
-                for k, (own, values) in store.items():
-                    rows[np.searchsorted(keys, own), k] = values
-                keys_out.append(keys)
-                rows_out.append(rows)
-        self._index()
+        self.grams = [Values(store, len(self.langs), 0.0) for store in grams]
+        self.contexts = [Values(store, len(self.langs), 1.0) for store in contexts]
         self.symbols = np.float32(1.0 / 400)  # the uniform model below order 1
 
     def _count(self, k: int, words: list[str], times: np.ndarray, grams: list, contexts: list) -> None:
@@ -137,28 +170,6 @@ class KneserNey:
             grams[n - 1][k] = (key, ((count - np.minimum(discount, count)) / total[ctx_back]).astype(np.float32))
             contexts[n - 1][k] = (ctx_key, np.minimum(1.0, discount * kinds / total).astype(np.float32))
 
-    BITS = 18
-
-    def _index(self) -> None:
-        """Where each range of leading bits begins in a sorted array; hashes are uniform, so ranges are short."""
-        heads = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
-        self.gram_index, self.ctx_index = [], []
-        for all_keys, out in ((self.gram_keys, self.gram_index), (self.ctx_keys, self.ctx_index)):
-            for keys in all_keys:
-                edges = np.searchsorted(keys, heads).astype(np.int32)
-                out.append((edges, int(np.diff(np.append(edges, len(keys))).max())))
-
-    def _rows(self, keys: np.ndarray, index: tuple[np.ndarray, int], rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """The rows of the wanted hashes; the last row where a hash is absent."""
-        at = np.full(len(wanted), len(keys), np.int64)
-        if len(keys):
-            edges, widest = index
-            first = edges[(wanted >> np.uint64(64 - self.BITS)).astype(np.int64)].astype(np.int64)
-            for step in range(widest):
-                here = np.minimum(first + step, len(keys) - 1)
-                at = np.where(keys[here] == wanted, here, at)
-        return rows[at]
-
     def entropies(self, words: list[str], at_once: int = 200_000) -> np.ndarray:
         """Nats of each word under every language: word, language.
 
@@ -178,7 +189,7 @@ class KneserNey:
     def _nats(self, words: list[str], cut: dict[int, tuple[int, bool]], at_once: int) -> np.ndarray:
         """cut: piece -> how many places at its start belong to the piece before, and whether the word ends with it."""
         parts = []
-        start = 0
+        start, at_once = 0, min(at_once, max(2000, 4_000_000 // max(1, len(self.langs))))
         while start < len(words):
             end, chars = start, 0
             while end < len(words) and chars < at_once:
@@ -191,7 +202,7 @@ class KneserNey:
             for n in range(ORDER):
                 here = np.flatnonzero(hashes[n])
                 if len(here):
-                    p[here] = self._rows(self.gram_keys[n], self.gram_index[n], self.gram_p[n], hashes[n][here]) + self._rows(self.ctx_keys[n], self.ctx_index[n], self.ctx_back[n], left[n][here]) * p[here]
+                    p[here] = self.grams[n].of(hashes[n][here]) + self.contexts[n].of(left[n][here]) * p[here]
             logs = -np.log(p)
             first = np.searchsorted(owner, np.arange(len(some)), "left")
             for k in range(start, end) if cut else ():
@@ -223,9 +234,10 @@ class KneserNey:
 class WordRows(dict):
     """Word -> number of its row of nats; new words wait in a list and are scored together."""
 
-    def __init__(self, most: int = 800_000):
+    def __init__(self, langs: int = 4, most: int = 800_000):
         super().__init__()
-        self.most, self.waiting, self.table, self.used, self.letters = most, [], np.zeros((0, 0), np.float32), 0, 0
+        self.most = min(most, 8_000_000 // (langs + 1))
+        self.waiting, self.table, self.used, self.letters = [], np.zeros((0, 0), np.float32), 0, 0
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
@@ -319,6 +331,7 @@ def training_rows(docs: DataFrame, train_chars: int) -> list[tuple[str, str]]:
     totals = usable.groupBy("lang").agg(F.sum(size).alias("total")).orderBy(F.desc("total"), "lang").limit(MOST_LANGS).collect()
     if not totals:
         return []
+    train_chars = min(train_chars, TOTAL_CHARS // len(totals))
     share = F.lit(0.0)
     for r in totals:
         share = F.when(F.col("lang") == r.lang, train_chars / r.total).otherwise(share)
@@ -335,7 +348,7 @@ def identify_languages(docs: DataFrame, train_chars: int = 500_000) -> DataFrame
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = identifier.value
-        cache = model.__dict__.setdefault("cache", WordRows())  # lives as long as the worker holds the broadcast
+        cache = model.__dict__.setdefault("cache", WordRows(len(model.model.langs)))  # lives as long as the worker holds the broadcast
         for part in parts:
             for start in range(0, part.num_rows, 1000):
                 some = part.slice(start, 1000)
