@@ -9,12 +9,17 @@ the address around an '@' and through the gaps of a phone number: a span of any
 the four kinds holds a digit or '@', so no text outside can hold one. The emissions of
 overlapping windows are averaged per character, each weighted by its distance
 from the window's ends, and one Viterbi pass over the whole region, across all
-its windows, gives the global labelling. A decoded span is added if its kind's
+its windows, gives the global labelling. A long region is read in stretches of
+STRETCH characters with the scores carried over, and labels are settled as soon as
+all paths agree on them, so memory does not grow with it. A decoded span is added if its kind's
 shape holds (Luhn, number of digits, parts up to 255, dotted domain) and it
 touches no base span; base spans always stay.
 
 Defined cases: null counts as the empty text; rows with null or repeated ids are
-read like others; texts of any length are read whole.
+read like others; texts of any length are read whole; of labellings that score the
+same, the one of lesser tags is taken; an empty table gives an empty one; other
+columns, whatever their names, are not read by ``find_pii`` and handed on by
+``mask_pii``.
 """
 
 from __future__ import annotations
@@ -22,7 +27,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 from kvlake.llm.common import map_batches
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STRIDE, REACH = 64, 32, 20
+WINDOW, STRIDE, REACH, STRETCH = 64, 32, 20, 16_384
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -238,18 +244,39 @@ class Tagger:
                     self.p[name] = (self.p[name] - lr * (m[name] / (1 - 0.9**step)) / (np.sqrt(v2[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return loss
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best tags of one region: time, tag."""
-        a = self.p["A"] + self.allowed
-        score, back = e[0] + np.where(np.arange(TAGS) % 2 == 0, np.where(np.arange(TAGS) == 0, 0, -1e4), 0), []
-        for t in range(1, len(e)):
-            s = score[:, None] + a
-            back.append(s.argmax(axis=0))
-            score = s.max(axis=0) + e[t]
-        path = [int(score.argmax())]
+    def viterbi(self, parts: Iterable[np.ndarray]) -> np.ndarray:
+        """Best tags of one region, whose emissions (time, tag) come in parts."""
+        a = (self.p["A"] + self.allowed).astype(np.float64)
+        first = np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), -1e4, 0.0)
+        score, back, out = None, [], []
+        for e in parts:
+            for row in e:
+                if score is None:
+                    score = row + first
+                else:
+                    s = score[:, None] + a
+                    back.append(s.argmax(axis=0).astype(np.uint8))
+                    score = s.max(axis=0) + row
+            if score is not None:
+                score = score - score.max()
+            # where the best paths to all tags meet, what lies before is settled
+            ends, at = np.arange(TAGS), len(back)
+            while at and (ends != ends[0]).any():
+                at -= 1
+                ends = back[at][ends]
+            if at:
+                out.append(self._follow(back[:at], int(ends[0]))[:-1])
+                back = back[at:]
+        if score is not None:
+            out.append(self._follow(back, int(score.argmax())))
+        return np.concatenate(out) if out else np.zeros(0, np.uint8)
+
+    @staticmethod
+    def _follow(back: list[np.ndarray], tag: int) -> np.ndarray:
+        path = [tag]
         for b in reversed(back):
             path.append(int(b[path[-1]]))
-        return np.array(path[::-1])
+        return np.array(path[::-1], np.uint8)
 
 
 def _with_luhn(rng: random.Random, n: int) -> str:
@@ -313,7 +340,7 @@ def labelled_windows(count: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]
 
 
 @lru_cache(maxsize=2)
-def trained(windows: int = 5000, epochs: int = 7) -> Tagger:
+def trained(windows: int = 8000, epochs: int = 8) -> Tagger:
     tagger = Tagger()
     tagger.fit(*labelled_windows(windows), epochs=epochs)
     return tagger
@@ -363,65 +390,114 @@ def _shaped(kind: int, span: str) -> bool:
 
 
 def _spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
-    out, k = [], 0
-    while k < len(tags):
-        if tags[k] % 2 == 1:
-            end = k + 1
-            while end < len(tags) and tags[end] == tags[k] + 1:
-                end += 1
-            out.append((int(tags[k] - 1) // 2, k, end))
-            k = end
-        else:
-            k += 1
+    out = []
+    for k in np.flatnonzero(tags % 2 == 1).tolist():
+        end = k + 1
+        while end < len(tags) and tags[end] == tags[k] + 1:
+            end += 1
+        out.append((int(tags[k] - 1) // 2, k, end))
     return out
 
 
+class Taken:
+    """Spans of one text: whether one of them covers, or meets, a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        ordered = sorted((a, b) for _, a, b in spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = np.maximum.accumulate([b for _, b in ordered]).tolist() if ordered else []
+
+    def covers(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.reach[k - 1] >= b
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.reach[k - 1] > a
+
+
+_WEIGHT = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
+
+
+def _window_starts(length: int, first: int = 0, end: int | None = None) -> range:
+    """Where windows begin that reach into [first, end) of a region."""
+    last = max(1, length - WINDOW + STRIDE)
+    return range(max(0, (first - WINDOW) // STRIDE * STRIDE + STRIDE), last if end is None else min(last, end), STRIDE)
+
+
+def region_emissions(tagger: Tagger, text: str, a: int, b: int) -> Iterator[np.ndarray]:
+    """Averaged emissions (time, tag) of one region, stretch by stretch."""
+    n = b - a
+    for first in range(0, n, STRETCH):
+        end = min(n, first + STRETCH)
+        starts = _window_starts(n, first, end)
+        ids = symbols(text[a + starts[0] : a + min(n, starts[-1] + WINDOW)])
+        ids = np.concatenate([ids, np.full(max(0, starts[-1] + WINDOW - n), PAD, np.int64)])
+        e = tagger.emissions(np.stack([ids[s - starts[0] : s - starts[0] + WINDOW] for s in starts]))
+        total, w = np.zeros((starts[-1] + WINDOW - starts[0], TAGS), np.float32), np.zeros(starts[-1] + WINDOW - starts[0], np.float32)
+        for j, s in enumerate(starts):
+            at = s - starts[0]
+            total[at : at + WINDOW] += e[:, j] * _WEIGHT[:, None]
+            w[at : at + WINDOW] += _WEIGHT
+        some = slice(first - starts[0], end - starts[0])
+        yield total[some] / w[some, None]
+
+
 def tagger_spans(tagger: Tagger, texts: list[str], taken: list[list[tuple[int, int, int]]], at_once: int = 4096) -> list[list[tuple[int, int, int]]]:
     """What the tagger adds to the ``taken`` spans of each text."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    weight = 1.0 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
-    pending: list[tuple[int, int, int, np.ndarray]] = []
+    known = [Taken(x) for x in taken]
+    pending: list[tuple[int, int, np.ndarray]] = []
     held = 0
 
+    def add(doc: int, a: int, tags: np.ndarray) -> None:
+        for kind, s, t in _spans_of(tags):
+            span = texts[doc][a + s : a + t]
+            lead = len(span) - len(span.lstrip())
+            s, span = s + lead, span.strip()
+            t = s + len(span)
+            if _shaped(kind, span) and not known[doc].meets(a + s, a + t):
+                out[doc].append((kind, a + s, a + t))
+
     def work() -> None:
+        """Many short regions at once."""
         windows, owner = [], []
-        for k, (_, _, _, ids) in enumerate(pending):
-            for s in range(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE):
+        for k, (_, _, ids) in enumerate(pending):
+            for s in _window_starts(len(ids)):
                 row = np.full(WINDOW, PAD, np.int64)
                 row[: len(ids[s : s + WINDOW])] = ids[s : s + WINDOW]
                 windows.append(row)
                 owner.append((k, s))
-        sums = [np.zeros((len(x[3]), TAGS), np.float32) for x in pending]
-        weights = [np.zeros(len(x[3]), np.float32) for x in pending]
+        sums = [np.zeros((len(x[2]), TAGS), np.float32) for x in pending]
+        weights = [np.zeros(len(x[2]), np.float32) for x in pending]
         for first in range(0, len(windows), at_once):
             e = tagger.emissions(np.stack(windows[first : first + at_once]))
             for j in range(e.shape[1]):
                 k, s = owner[first + j]
                 n = min(WINDOW, len(sums[k]) - s)
-                sums[k][s : s + n] += e[:n, j] * weight[:n, None]
-                weights[k][s : s + n] += weight[:n]
-        for (doc, a, _, _), total, w in zip(pending, sums, weights, strict=True):
-            for kind, s, t in _spans_of(tagger.viterbi(total / w[:, None])):
-                span = texts[doc][a + s : a + t]
-                lead = len(span) - len(span.lstrip())
-                s, span = s + lead, span.strip()
-                t = s + len(span)
-                if _shaped(kind, span) and not any(b < a + t and a + s < c for _, b, c in taken[doc]):
-                    out[doc].append((kind, a + s, a + t))
+                sums[k][s : s + n] += e[:n, j] * _WEIGHT[:n, None]
+                weights[k][s : s + n] += _WEIGHT[:n]
+        for (doc, a, _), total, w in zip(pending, sums, weights, strict=True):
+            add(doc, a, tagger.viterbi([total / w[:, None]]))
         pending.clear()
 
     for doc, text in enumerate(texts):
         for a, b in regions(text):
             # what base spans cover, with what they touch, needs no second opinion
-            if all(any(x <= m.start() + a and m.end() + a <= y for _, x, y in taken[doc]) for m in _TRIGGER.finditer(text[a:b])):
+            if all(known[doc].covers(m.start(), m.end()) for m in _TRIGGER.finditer(text, a, b)):
+                continue
+            if b - a > STRETCH:
+                add(doc, a, tagger.viterbi(region_emissions(tagger, text, a, b)))
                 continue
-            pending.append((doc, a, b, symbols(text[a:b])))
+            pending.append((doc, a, symbols(text[a:b])))
             held += b - a
             if held > 200_000:
                 work()
                 held = 0
     if pending:
         work()
+    for spans in out:
+        spans.sort(key=lambda s: s[1])
     return out
 
 

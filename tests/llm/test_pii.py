@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -110,6 +111,89 @@ def test_overlapping_windows_are_one_labelling(tagger):
     assert all(a[2] <= b[1] for a, b in zip(sorted(got, key=lambda s: s[1]), sorted(got, key=lambda s: s[1])[1:], strict=False))
 
 
+def test_viterbi_equals_enumeration_in_any_parts(tagger):
+    rng = np.random.default_rng(3)
+    a = (tagger.p["A"] + tagger.allowed).astype(np.float64)
+    for _ in range(20):
+        e = rng.normal(0, 3, (5, pii.TAGS)).astype(np.float32)
+        score = lambda path, e=e: (-1e4 if path[0] % 2 == 0 and path[0] else 0) + sum(float(e[t, x]) for t, x in enumerate(path)) + sum(a[x, y] for x, y in itertools.pairwise(path))
+        best = max(itertools.product(range(pii.TAGS), repeat=4), key=lambda p: score((*p, 0)) if e[4].argmax() == 0 else max(score((*p, x)) for x in range(pii.TAGS)))
+        want = max(((*best, x) for x in range(pii.TAGS)), key=score)
+        got = tagger.viterbi([e])
+        assert score(tuple(got)) >= score(want) - 1e-6
+        assert all(np.array_equal(got, tagger.viterbi([e[:k], e[k:]])) for k in range(6))
+    e = rng.normal(0, 2, (4000, pii.TAGS)).astype(np.float32)
+    assert np.array_equal(tagger.viterbi([e]), tagger.viterbi(np.array_split(e, 37)))
+
+
+def test_emissions_are_weighted_means_of_the_windows(tagger, monkeypatch):
+    text = "x " * 7 + " ".join("+1 (269) 555-3296 4524132264652876 thshe" for _ in range(9))
+    n = len(text)
+    total, weights = np.zeros((n, pii.TAGS)), np.zeros(n)
+    ids = np.concatenate([pii.symbols(text), np.full(pii.WINDOW, pii.PAD)])
+    for s in range(0, max(1, n - pii.WINDOW + pii.STRIDE), pii.STRIDE):
+        e = tagger.emissions(ids[None, s : s + pii.WINDOW])
+        for t in range(min(pii.WINDOW, n - s)):
+            w = 1 + min(t, pii.WINDOW - 1 - t)
+            total[s + t] += w * e[t, 0]
+            weights[s + t] += w
+    for stretch in (32, 64, 96, 16_384):
+        monkeypatch.setattr(pii, "STRETCH", stretch)
+        got = np.concatenate(list(pii.region_emissions(tagger, text, 0, n)))
+        np.testing.assert_allclose(got, total / weights[:, None], rtol=1e-3, atol=1e-4)
+
+
+def test_long_regions_are_read_in_stretches(tagger, monkeypatch):
+    text = " ".join("+1 (269) 555-3296 4524132264652876 thshe" for _ in range(60))
+    base = pii.base_spans(text)
+    whole = pii.tagger_spans(tagger, [text], [base])[0]
+    monkeypatch.setattr(pii, "STRETCH", 64)
+    assert pii.tagger_spans(tagger, [text], [base])[0] == whole and len(whole) > 100
+
+
+def test_very_long_text_through_the_tagger(tagger):
+    text = "12 " * 200_000 + "mary.smith @ example.com" + " 7" * 50_000
+    assert (0, 600_000, 600_024) in pii.tagger_spans(tagger, [text], [pii.base_spans(text)])[0]
+
+
+def test_taken_spans_are_found_as_by_plain_search():
+    rng = random.Random(8)
+    for _ in range(500):
+        spans = [(0, a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(6)))]
+        a = rng.randrange(45)
+        b = a + rng.randrange(1, 9)
+        known = pii.Taken(spans)
+        assert known.covers(a, b) == any(x <= a and b <= y for _, x, y in spans)
+        assert known.meets(a, b) == any(x < b and a < y for _, x, y in spans)
+
+
+def test_what_the_tagger_adds_on_labelled_text(tagger):
+    """Of spans whose forms the base patterns lack, most are found, and little else."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    want = found = right = 0
+    for _ in range(150):
+        text, spans = "", set()
+        for _ in range(12):
+            r = rng.random()
+            if r < 0.1:
+                kind, piece = 0, f"{word()}.{word()}{rng.choice([' @ ', '@ '])}{word()}.com"
+            elif r < 0.2:
+                kind, piece = 3, rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"])
+            elif r < 0.3:
+                kind, piece = 2, pii._with_luhn(rng, 15)
+            else:
+                kind, piece = -1, rng.choice([word(), word(), digits(4), f"20{digits(2)}-0{digits(1)[-1]}-1{digits(1)}", f"${digits(3)}.{digits(2)}"])
+            if kind >= 0:
+                spans.add((kind, len(text), len(text) + len(piece)))
+            text += piece + rng.choice([" ", ", ", " and "])
+        assert not any(s in pii.base_spans(text) for s in spans)
+        got = set(pii.tagger_spans(tagger, [text], [pii.base_spans(text)])[0])
+        want, found, right = want + len(spans), found + len(got), right + len(got & spans)
+    assert right >= 0.75 * want and right >= 0.75 * found
+
+
 def test_rows_and_masking(spark, tagger):
     rows = [(1, "mail a.b@c.de now", 17, "x"), (1, None, None, None), (None, "", 0, "y"), (4, "1.2.3.4 +1 555 123 4567", 23, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint, spans string")
