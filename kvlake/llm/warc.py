@@ -1,24 +1,29 @@
 """Deterministic sharded WARC archives: writing, committing, reading back.
 
-Writing range-sorts the records by page_id into shards of about equal size. The
-shard bounds come from an exact histogram of payload bytes over page_id, so they
-depend on the rows alone. A task writes each of its shards as gzip members, one
-for a record, and rolls to the next file when a file's compressed size passes
-``roll_bytes``. Record ids, dates, headers and digests are regenerated from the
-rows, so the same rows give the same bytes. Files are written under names that
-belong to one task attempt; Spark's own commit of the task results decides which
-attempt counts; those files are renamed to their final names and the manifest is
-published last. A reader follows the manifest and never sees anything else. A
-lost executor costs its tasks only.
+Writing range-sorts the records by page_id, and records of one page_id by a hash
+of their contents, into shards of about equal size. The shard bounds are quantiles
+of a sample chosen by a hash of each record, SAMPLES_A_SHARD records for a shard
+and all records of a small table, so they depend on the rows alone; ids of any
+spread and ids that many records share are cut alike. A task writes each of its
+shards as gzip members, one for a record, and rolls to the next file when a file's
+compressed size passes ``roll_bytes``. Record ids, dates, headers and digests are
+regenerated from the rows, so the same rows give the same bytes. Files are written
+under names that belong to one task attempt; Spark's own commit of the task results
+decides which attempt counts; those files are renamed to their final names and the
+manifest is published last. A reader follows the manifest and never sees anything
+else. A lost executor costs its tasks only.
 
 Of rows with equal payloads (of ``least_bytes`` at least) those of the largest
 page_id become responses and the others revisit it; smaller ones are responses.
+Payloads that very many rows share meet their rows by a broadcast of HOT_PAYLOADS
+rows at most, so no task gets all of them.
 
 Defined cases: null html is an empty payload; a null url gets a name made from
-the page_id; null page_ids are written to the first shard and revisit like
+the page_id; null page_ids are written before all others and revisit like
 others (a group of null ids alone is all responses); rows repeated with the same
 page_id are separate records of the same kind; an empty table gives an empty
-manifest.
+manifest; a payload of any length is one record; other columns, whatever their
+names, are not read and not written.
 """
 
 from __future__ import annotations
@@ -31,14 +36,17 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from kvlake.llm.common import map_batches, shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
-BINS = 4096
+SAMPLES_A_SHARD, HOT_PAYLOADS = 64, 1000
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -155,42 +163,70 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block
 
 
-def _shards(meta: DataFrame, shard_bytes: int, most_shards: int):
-    """Columns and a function page_id -> shard, cut from an exact histogram of BINS equal ranges of page_id."""
-    low, high, total = meta.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
-    if low is None:
-        return F.lit(0), 1
-    width = -(-(high - low + 1) // BINS)
-    bin_of = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(0)).cast("int")
-    sizes = dict(meta.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size")).collect())  # BINS rows at most
-    each = max(shard_bytes, -(-total // most_shards))
-    shard, held, of = 0, 0, []
-    for b in range(BINS):
-        if held and held + sizes.get(b, 0) > each:
-            shard, held = shard + 1, 0
-        held += sizes.get(b, 0)
-        of.append(shard)
-    return F.element_at(F.lit(of), bin_of + 1), shard + 1
+NO_PAGE = -(1 << 63)
+
+
+def shard_bounds(sample: pa.Table, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each shard but the first begins: (page_id, tie) that cut a sample (page_id, tie, size) into parts of equal size."""
+    page, tie, size = (sample.column(c).to_numpy() for c in ("page_id", "tie", "size"))
+    order = np.lexsort((tie, page))
+    page, tie, upto = page[order], tie[order], np.cumsum(size[order])
+    at = np.searchsorted(upto, np.arange(1, count) * (upto[-1] / count)) if len(upto) else np.zeros(0, np.int64)
+    at = np.unique(np.minimum(at, max(0, len(upto) - 1)))
+    return page[at], tie[at]
+
+
+def shard_numbers(bounds: tuple[np.ndarray, np.ndarray], page: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many bounds are at or below each (page_id, tie)."""
+    low, high = np.searchsorted(bounds[0], page, "left"), np.searchsorted(bounds[0], page, "right")
+    out = low.copy()
+    inside = np.flatnonzero(high > low)
+    for first in np.unique(low[inside]):
+        some = inside[low[inside] == first]
+        out[some] += np.searchsorted(bounds[1][first : high[some[0]]], tie[some], "right")
+    return out.astype(np.int32)
+
+
+def _shard_column(bounds: tuple[np.ndarray, np.ndarray]) -> Column:
+    @pandas_udf("int")
+    def shard(page: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(shard_numbers(bounds, page.to_numpy(), tie.to_numpy()))
+
+    return shard(F.coalesce("page_id", F.lit(NO_PAGE)), F.col("tie"))
 
 
 MANIFEST = "shard int, file string, temporary string, records bigint, bytes bigint, sha1 string"
 
 
-def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 8 << 20, roll_bytes: int = 2 << 20, least_bytes: int = 0, most_shards: int = 20_000) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 8 << 20, roll_bytes: int = 2 << 20, least_bytes: int = 0, most_shards: int = 20_000, hot_rows: int = 100_000) -> DataFrame:
     """Write all rows of ``pages`` (page_id, url, html) under ``folder``; returns the committed manifest."""
     spark = pages.sparkSession
-    rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "coalesce(html, '') html")
-    meta = rows.select("page_id", F.octet_length("html").cast("bigint").alias("size"), F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
-    shard, count = _shards(meta.withColumn("size", F.col("size") + 512), shard_bytes, most_shards)
+    rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "coalesce(html, '') html").withColumn("tie", F.xxhash64("url", "html"))
+    meta = rows.select("page_id", "tie", F.octet_length("html").cast("bigint").alias("size"), F.unhex(F.sha1(F.encode("html", "UTF-8"))).alias("digest"))
+    records_bytes = F.octet_length("html").cast("bigint") + 512
+    total, size = rows.agg(F.count("*"), F.sum(records_bytes)).first()
+    count = int(min(most_shards, -(-(size or 1) // shard_bytes)))
+    unit = F.xxhash64("page_id", "tie", F.lit(1)).bitwiseAND(F.lit((1 << 30) - 1))
+    share = min(1.0, SAMPLES_A_SHARD * count / max(1, total))
+    sample = rows.where(unit < F.lit(int(share * (1 << 30)))).select(F.coalesce("page_id", F.lit(NO_PAGE)).alias("page_id"), "tie", records_bytes.alias("size")).toArrow()
+    bounds = shard_bounds(sample, count)  # SAMPLES_A_SHARD * most_shards rows or so
+    count = len(bounds[0]) + 1
 
     # one row for each distinct payload; only those found more than once go on
-    groups = meta.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    flags = meta.join(groups, ["digest", "size"]).where("page_id is null or page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    # a flag travels to its page's shard and sorts just before the page
-    both = flags.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), "digest", "refers_to").unionByName(
-        rows.select("page_id", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
+    groups = meta.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    limit = max(hot_rows, total // HOT_PAYLOADS)
+    hot = F.broadcast(groups.where(F.col("n") > limit).selectExpr("digest", "size", "refers_to hot"))  # fewer than HOT_PAYLOADS rows
+    cold = groups.where(F.col("n") <= limit).drop("n")
+    # a row that has met its hot payload gets a key of its own, of another length than a digest
+    own = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.encode(F.col("tie").cast("string"), "UTF-8"))
+    met = meta.join(hot, ["digest", "size"], "left").withColumn("own", own)
+    refers = met.join(cold.withColumnRenamed("digest", "own"), ["own", "size"], "left").withColumn("refers_to", F.coalesce("hot", "refers_to"))
+    flags = refers.where("refers_to is not null and (page_id is null or page_id <> refers_to)").select("page_id", "tie", "digest", "refers_to").distinct()
+    # a flag travels to its record's shard and sorts just before the record
+    both = flags.select("page_id", "tie", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("kind"), "digest", "refers_to").unionByName(
+        rows.select("page_id", "tie", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("bigint").alias("refers_to"))
     )
-    dealt = both.withColumn("shard", shard.cast("int")).repartitionByRange(count, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    dealt = both.withColumn("shard", _shard_column(bounds)).repartitionById(count, "shard").sortWithinPartitions("shard", "page_id", "tie", "kind", "url", "html")
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("temporary", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,13 +244,13 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = 8 << 20, roll_b
 
         at = None
         for part in parts:
-            cols = [c.to_pylist() for c in part.select(["shard", "page_id", "url", "html", "kind", "digest", "refers_to"]).columns]
-            for s, page_id, url, html, kind, digest, refers_to in zip(*cols, strict=True):
+            cols = [c.to_pylist() for c in part.select(["shard", "page_id", "tie", "url", "html", "kind", "digest", "refers_to"]).columns]
+            for s, page_id, tie, url, html, kind, digest, refers_to in zip(*cols, strict=True):
                 if s != shard_now:
                     end()
                     shard_now, number = s, 0
-                if page_id != at:
-                    flags, at = {}, page_id
+                if (page_id, tie) != at:
+                    flags, at = {}, (page_id, tie)
                 if not kind:
                     flags[bytes(digest)] = refers_to
                     continue
