@@ -20,8 +20,13 @@ DDL = "bucket int, kind int, docs binary, at binary, hash binary, more binary"
 NO_ID = np.iinfo(np.int64).max
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+BUCKET_BYTES = 128 << 20
+
+
+def bucket_count(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """As many buckets as shuffle partitions, and more where one would hold over about ``bucket_bytes`` of text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
 
 
 def bucket_keys(spark: SparkSession, n: int) -> np.ndarray:

@@ -14,8 +14,10 @@ for, so relations between sets let most pairs be skipped without loss:
 3. The rest, exactly. Each class puts the prefix of its set (in one global token
    order, frequent tokens last) into an index. Lists are cut into blocks; a block
    is skipped for a set when its sizes or its least position rule out the overlap
-   needed, or when all of it lies in the set's own component. Pairs that remain
-   are verified on whole sets and joined.
+   needed, or when all of it lies in the set's own component. A token whose list
+   would be longer than ``split`` has a list for every two parts of its documents
+   instead, so no task gets a hot token whole and every pair still meets. Pairs
+   that remain are verified on whole sets and joined.
 
 Candidates first meet by parity sketches of about two bits a shingle, whose
 distance never exceeds the sets' difference, so what they rule out is no link.
@@ -23,9 +25,14 @@ Verification sends the text of one side once to each bucket that holds partners.
 There the overlaps of a set with similar partners are derived one from the next,
 from the few shingles in which the partners differ.
 
+Buckets of documents hold about blobs.BUCKET_BYTES of text, however large the table.
+
 Defined cases: a text without words, or null, has no shingles and is alone; a
-text of 1 to K-1 words has one; rows that share a doc_id are one document with
-the links of each of its texts; a null doc_id has a null component.
+text of 1 to K-1 words has one; texts of any length count whole; similarities equal
+to the limit link; rows that share a doc_id are one document with the links of each
+of its texts; a null doc_id has a null component; an empty table gives an empty one;
+other columns, whatever their names, are not read by ``similar_components`` and
+handed on by ``keep_representatives``.
 """
 
 from __future__ import annotations
@@ -336,7 +343,19 @@ def _verify(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], schema=LINKS)
 
 
-def _postings(keys: np.ndarray, frequent):
+def _parted(token: np.ndarray, doc: np.ndarray, count: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which postings go where: those of a token of more than ``split`` documents to a list for its own part with each part."""
+    parts = np.maximum(1, -(-count // split))
+    at = np.repeat(np.arange(len(token)), parts)
+    ends = np.cumsum(parts)
+    other = np.arange(len(at)) - np.repeat(ends - parts, parts)
+    own = (mix(doc.astype(np.uint64))[at] % parts[at].astype(np.uint64)).astype(np.int64)
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    pair = (low * parts[at] + high + 1).astype(np.uint64)
+    return at, np.where(parts[at] > 1, mix(token[at] ^ mix(pair)), token[at])
+
+
+def _postings(keys: np.ndarray, frequent, split: int):
     """Documents of one bucket meet their components: prefixes for the buckets of tokens."""
     n = len(keys)
 
@@ -349,19 +368,24 @@ def _postings(keys: np.ndarray, frequent):
         cols: list[list[np.ndarray]] = [[] for _ in range(5)]
         for a, b in groups(texts):
             h, counts = shingle_sets(texts[a:b])
-            owner = np.repeat(np.arange(b - a), counts)
+            owner, seen = np.repeat(np.arange(b - a), counts), np.zeros(len(h), np.int64)
             if len(tokens) and len(h):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
                 rank = np.where(tokens[at] == h, counts_of[at], 0)
                 if rank.any():
                     level = np.ceil(np.log2(rank + 1.0)).astype(np.int64)  # the same order on every worker
-                    h = h[np.argsort(owner * 64 + level, kind="stable")]
+                    order = np.argsort(owner * 64 + level, kind="stable")
+                    h, seen = h[order], rank[order]
             place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
             size = np.repeat(counts, counts)
             head = place < size - -(-PERCENT * size // 100) + 1
             who = np.array(ids[a:b], np.int64)[owner[head]] if b > a else np.zeros(0, np.int64)
             label = np.array([comp[i] for i in ids[a:b]], np.int64)[owner[head]] if b > a else who
-            for c, v in zip(cols, (h[head], who, label, size[head], place[head]), strict=True):
+            token, size, place = h[head], size[head], place[head]
+            if (seen[head] > split).any():
+                at, token = _parted(token, who, seen[head], split)
+                who, label, size, place = who[at], label[at], size[at], place[at]
+            for c, v in zip(cols, (token, who, label, size, place), strict=True):
                 c.append(v)
         if not cols[0]:
             return blobs.SCHEMA.empty_table()
@@ -464,18 +488,18 @@ def _list_pairs(doc: np.ndarray, label: np.ndarray, size: np.ndarray, at: np.nda
                 yield np.stack([np.minimum(p, q)[some], np.maximum(p, q)[some]])
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def similar_components(docs: DataFrame, split: int = 20_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
-    n = blobs.bucket_count(spark)
-    keys = blobs.bucket_keys(spark, n)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    work = shared_folder(spark, "jaccard")
+    n = blobs.bucket_count(rows)
+    keys = blobs.bucket_keys(spark, n)
+    work, names = shared_folder(spark, "jaccard"), []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{work}/{name}")
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
+        names.append(name)
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     written = kept(map_batches(rows, _signs, SIGNS_DDL), "signs")
@@ -527,7 +551,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], top["n"].to_numpy(np.int64)[order]))  # MOST_FREQUENT entries at most
     dealt_labels = labelled.withColumn("bucket", blobs.doc_bucket_column(F.col("id"), keys)).repartition(n, "bucket")
-    postings = by_doc.groupBy("bucket").cogroup(dealt_labels.groupBy("bucket")).applyInArrow(_postings(keys, frequent), blobs.DDL)
+    postings = by_doc.groupBy("bucket").cogroup(dealt_labels.groupBy("bucket")).applyInArrow(_postings(keys, frequent, split), blobs.DDL)
     far = kept(verified(map_batches(blobs.dealt(postings, n), _candidates(keys), blobs.DDL)), "far")
     joined = far.join(labelled.selectExpr("id u", "component cu"), "u").join(labelled.selectExpr("id v", "component cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
     merged = components(joined)
@@ -537,6 +561,9 @@ def similar_components(docs: DataFrame) -> DataFrame:
     member = some.select("doc_id", "n", "s1", "s2").join(leads.select("n", "s1", "s2", F.col("doc_id").alias("lead")), ["n", "s1", "s2"]).join(final, "lead").select("doc_id", "component_id")
     both = kept(member.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("other")), "members")
     twice = components(both.where("component_id <> other").select(F.col("component_id").alias("u"), F.col("other").alias("v")))
+    for name in names:
+        if name not in ("signs", "members"):  # what the result is read from
+            remove_folder(spark, f"{work}/{name}")
     settled = both.join(twice.selectExpr("id component_id", "component top"), "component_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("top", "component_id").alias("component_id"))
     return signs.select("doc_id", F.col("n").alias("n_shingles")).join(settled, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -20,10 +20,14 @@ both. Only anchors at cover residues are hashed and shuffled, 4 of 13 places.
 A passage in a third of all documents costs each task one entry for each of its
 anchors. No pairs of places are made, so groups of any size cost their length.
 
+Buckets of documents hold about blobs.BUCKET_BYTES of text, however large the table.
+
 Defined cases: null texts have no words; documents of fewer than WINDOW words
-lose nothing; rows that share a doc_id are at equal places, so none of them is
-earlier than the other and identical rows stay alike; null ids count as one id
-after all others.
+lose nothing; texts of any length are read whole; rows that share a doc_id are at
+equal places, so none of them is earlier than the other and identical rows stay
+alike; null ids come after all others, equal texts as one id and different ones in
+an order of their hashes, so they are spread over all buckets; an empty table gives
+an empty one; other columns, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ from kvlake.shipping import ship_package
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+NO_IDS = blobs.NO_ID - (1 << 40) + 1  # ids from here on stand for null
 SHARED, LATER, SEEN = 0, 1, 2  # kinds of rows: places of shared anchors, places of later windows, hashes to compare
 _ROLL, _CHECK = Rolling(), Rolling(0xD6E8FEB86659FD93 | 1)
 
@@ -76,7 +81,7 @@ def _anchors(keys: np.ndarray, unit: int):
 
     def work(words: WordHashes, ids: list, texts: list) -> list[tuple]:
         h, counts = _hashes(words, texts)
-        doc, at = _places(np.array([blobs.NO_ID if i is None else i for i in ids], np.int64), counts)
+        doc, at = _places(np.array(ids, np.int64), counts)
         left = np.repeat(counts, counts) - at  # words from here to the text's end
         long = np.repeat(counts >= WINDOW, counts)
         chosen = np.flatnonzero(residue[at % PERIOD] & (left >= ANCHOR) & long)
@@ -160,7 +165,7 @@ def _marks(table: pa.Table, ids: np.ndarray, first: np.ndarray, size: int) -> np
 
 
 def _sorted_bucket(docs: pa.Table) -> tuple[np.ndarray, list]:
-    ids = np.array([blobs.NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()], np.int64)
+    ids = docs.column("doc_id").to_numpy()
     order = np.argsort(ids, kind="stable")
     texts = docs.column("text").to_pylist()
     return ids[order], [texts[k] for k in order.tolist()]
@@ -252,7 +257,7 @@ def _remove(with_text: bool):
             lost = gone[a : a + n]
             removed = int(lost.sum())
             kept = b" ".join(compress(some, (~lost).tolist()) if removed else some)
-            rows.append((None if i == blobs.NO_ID else i, n, removed, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8")] if with_text else [])))
+            rows.append((None if i >= NO_IDS else i, n, removed, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8")] if with_text else [])))
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return run
@@ -262,10 +267,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, unit_chars: int = 8
     """doc_id, n_words, n_removed, kept_sha256 (and the kept text) of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ship_package(spark)
-    n = blobs.bucket_count(spark)
+    without = F.lit(NO_IDS) + F.xxhash64("text").bitwiseAND(F.lit(blobs.NO_ID - NO_IDS))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), without).alias("doc_id"), "text")
+    n = blobs.bucket_count(rows)
     keys = blobs.bucket_keys(spark, n)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    by_doc = rows.withColumn("bucket", blobs.doc_bucket_column(F.coalesce("doc_id", F.lit(blobs.NO_ID)), keys)).repartition(n, "bucket")
+    by_doc = rows.withColumn("bucket", blobs.doc_bucket_column(F.col("doc_id"), keys)).repartition(n, "bucket")
     anchors = blobs.dealt(map_batches(rows, _anchors(keys, unit_chars), blobs.DDL), n)
     shared = blobs.dealt(map_batches(anchors, _shared(keys), blobs.DDL), n)
     windows = by_doc.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_extend(keys), blobs.DDL)

@@ -59,6 +59,19 @@ def test_equals_brute_force(spark):
     assert jaccard.similar_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_hot_tokens_are_parted_without_loss(spark):
+    rng = random.Random(21)
+    common = " ".join(f"c{k}" for k in range(40))
+    rows = [(k, common + " " + " ".join(f"x{rng.randrange(60)}" for _ in range(rng.randrange(4, 14))), k, "x") for k in range(150)]
+    got = jaccard.similar_components(spark.createDataFrame(rows, DOCS).repartition(2), split=7).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+    token, doc = np.array([5, 5, 5, 5, 9], np.uint64), np.arange(5)
+    at, parted = jaccard._parted(token, doc, np.array([40, 40, 40, 40, 3]), 10)
+    lists = [set(parted[at == k].tolist()) for k in range(5)]
+    assert all(len(x) == 4 for x in lists[:4]) and lists[4] == {9}
+    assert all(lists[a] & lists[b] for a in range(4) for b in range(4))
+
+
 def thue_morse(n, swap=False):
     return "".join("ab"[(k.bit_count() + swap) % 2] for k in range(n))
 

@@ -8,7 +8,7 @@ DOCS = "doc_id bigint, text string, bucket string, kept string"
 
 def brute(rows):
     last = max((r[0] for r in rows if r[0] is not None), default=0) + 1
-    docs = [(last if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows]
+    docs = [(last if r[0] is None else r[0], (r[1] or "").encode().split()) for r in rows]  # null ids: at most one has windows of its own
     first = {}
     for i, words in docs:
         for a in range(len(words) - 19):
