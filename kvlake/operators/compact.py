@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvlake.functions.keys import entry_bytes
@@ -40,10 +40,37 @@ def levels_to_compact(files: DataFrame) -> DataFrame:
     return files.groupBy("level").agg(F.count("*").alias("files")).where(F.col("files") >= FILES_TO_COMPACT)
 
 
-def block_stats(log: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of each shard by cumulative entry size in storage order: rows, first and last key, versions."""
+def _range_of(bounds: list[tuple[str, int]], key: Column, version: Column) -> Column:
+    """How many bounds come before or at (key, version) in storage order, by halving: a row makes as many comparisons as the tree is deep."""
+
+    def halve(low: int, high: int):
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        k, v = bounds[mid]
+        before = (key < F.lit(k)) | ((key == F.lit(k)) & (version > F.lit(v)))
+        return F.when(before, halve(low, mid)).otherwise(halve(mid + 1, high))
+
+    return halve(0, len(bounds))
+
+
+def block_stats(log: DataFrame, block_bytes: int = BLOCK_BYTES, ranges: int = 256) -> DataFrame:
+    """Blocks of each shard by cumulative entry size in storage order: rows, first and last key, versions.
+
+    Two passes, so that no task runs through a whole shard: sizes by ranges of (key, version),
+    cut by a sample of about 32 rows each, are summed up; sums within a range start from there.
+    """
     size = F.lit(12) + entry_bytes(F.col("key"), F.col("value"))
-    order = Window.partitionBy("shard").orderBy("key", F.desc("version"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = log.withColumn("size", size.cast("bigint")).withColumn("upto", F.sum("size").over(order))
-    block = F.floor((F.col("upto") - F.col("size")) / F.lit(block_bytes)).cast("bigint")
+    sized = log.withColumn("size", size.cast("bigint"))
+    total = log.count()
+    unit = F.pmod(F.xxhash64("key", "version"), F.lit(1 << 30))
+    sample = sorted((r.key, -r.version) for r in log.where(unit < F.lit(int(min(1.0, 32 * ranges / max(1, total)) * (1 << 30)))).select("key", "version").collect())
+    bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
+    ranged = sized.withColumn("range", _range_of([(k, -v) for k, v in bounds], F.col("key"), F.col("version")))
+    sums = ranged.groupBy("shard", "range").agg(F.sum("size").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("shard", "range", before.alias("start"))  # a row for each range of each shard
+    order = Window.partitionBy("shard", "range").orderBy("key", F.desc("version"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("size").over(order)).join(F.broadcast(starts), ["shard", "range"])
+    block = F.floor((F.col("start") + F.col("upto") - F.col("size")) / F.lit(block_bytes)).cast("bigint")
     return placed.withColumn("block", block).groupBy("shard", "block").agg(F.count("*").alias("entries"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("version").alias("min_version"), F.max("version").alias("max_version"))

@@ -43,69 +43,108 @@ class TransactionError(Exception):
 
 
 class Transaction:
-    """A transaction on one shard of a store; it begins with its first key.
+    """A transaction of a store.
 
-    RepeatableRead and Serializable validate every key read; Serializable also
-    reads its ranges again, so rows that appeared in them are conflicts; the
-    other levels validate nothing. ``write_checks`` adds write-write conflicts.
+    By default it is one of the service: it belongs to one shard, that of its first
+    key, and reads its begin snapshot at every level. RepeatableRead and Serializable
+    validate every key read; Serializable also reads its ranges again, so rows that
+    appeared in them are conflicts; the other levels validate nothing. ``write_checks``
+    adds write-write conflicts.
+
+    An ``embedded`` one spans all shards. ReadCommitted reads the newest committed rows
+    at each read. ReadUncommitted writes at once, so others see its writes before it
+    ends, and takes them back by compensating writes if it is aborted. RepeatableRead
+    and Serializable read their snapshot and always check written keys as well.
+
+    A transaction that is idle for longer than the store's limit is gone: its
+    snapshot may be compacted, so it reads and commits no more.
     """
 
-    def __init__(self, store, level: Isolation = Isolation.REPEATABLE_READ, write_checks: bool = False):
-        self.store, self.level, self.write_checks = store, level, write_checks
+    def __init__(self, store, level: Isolation = Isolation.REPEATABLE_READ, write_checks: bool = False, embedded: bool = False):
+        self.store, self.level, self.embedded = store, level, embedded
+        self.write_checks = write_checks or (embedded and level in (Isolation.REPEATABLE_READ, Isolation.SERIALIZABLE))
         self.shard: int | None = None
         self.snapshot: int | None = None
         self.valid, self.closed = True, False
         self.reads: dict[str, int] = {}
+        self.values: dict[str, str | None] = {}
         self.writes: dict[str, str | None] = {}
+        self.undo: dict[str, str | None] = {}
         self.ranges: list[tuple[str, str]] = []
 
     def _begin(self, key: str) -> bool:
         shard = shard_of(key)
-        if self.closed or self.shard not in (None, shard):
+        if self.closed or (self.shard not in (None, shard) and not self.embedded):
             self.valid = False
             return False
-        if self.shard is None:
-            self.shard = shard
+        if self.snapshot is None:
+            self.shard = None if self.embedded else shard
             self.snapshot = self.store.begin(self)
         return self.valid
 
+    def _seen(self) -> None:
+        if not self.store.touch(self):
+            self.closed = True
+            raise TransactionError(Status.CONFLICT)
+
     def _log(self) -> DataFrame:
-        return self.store.shard(self.shard)
+        return self.store.log() if self.shard is None else self.store.shard(self.shard)
+
+    @property
+    def _latest(self) -> bool:
+        return self.embedded and self.level in (Isolation.READ_COMMITTED, Isolation.READ_UNCOMMITTED)
 
     def get(self, key: str) -> str | None:
         if not self._begin(key):
             raise TransactionError(Status.WRONG_GROUP)
+        self._seen()
         if key in self.writes:
             return self.writes[key]
-        row = read.get(self._log(), key, self.snapshot).first()
-        self.reads.setdefault(key, row.version)
-        return row.value
-
-    def put(self, key: str, value: str) -> bool:
+        if self._latest:
+            return read.get(self._log(), key).first().value
+        if key not in self.values:
+            row = read.get(self._log(), key, self.snapshot).first()
+            self.reads.setdefault(key, row.version)
+            self.values[key] = row.value
+        return self.values[key]
+
+    def _set(self, key: str, value: str | None) -> bool:
         if not self._begin(key):
             return False
+        if self.embedded and self.level is Isolation.READ_UNCOMMITTED:
+            if key not in self.undo:
+                self.undo[key] = read.get(self._log(), key).first().value
+            return self.store.commit(self._frame({key: value})) is Status.OK
         self.writes[key] = value
         return True
 
+    def put(self, key: str, value: str) -> bool:
+        return self._set(key, value)
+
     def remove(self, key: str) -> bool:
-        if not self._begin(key):
-            return False
-        self.writes[key] = None
-        return True
+        return self._set(key, None)
 
-    def range(self, start: str, end: str, limit: int = 0) -> list[tuple[str, str]]:
-        """Rows of one shard only: both ends must start with the same byte."""
-        if not start or not end or start.encode()[0] != end.encode()[0] or not self._begin(start):
+    def _frame(self, rows: dict[str, str | None]) -> DataFrame:
+        return self.store.spark.createDataFrame(list(rows.items()), "key string, value string")
+
+    def scan(self, start: str, end: str, limit: int = 0) -> DataFrame:
+        """(key, value) of a range under the transaction's own writes. Nothing of it comes to the driver.
+
+        In the service both ends must start with the same byte, so that one shard holds the range.
+        """
+        same = self.embedded or (start and end and start.encode()[0] == end.encode()[0])
+        if not same or not self._begin(start):
             self.valid = False
             raise TransactionError(Status.WRONG_GROUP)
-        spark = self.store.spark
-        seen = read.newest(self._log().where(in_range(F.col("key"), start, end)), self.snapshot).where(~F.col("is_tombstone"))
-        writes = spark.createDataFrame([(k, v, v is None) for k, v in self.writes.items()], TXN_WRITES)
-        out = overlay_range(self._log(), writes, start, end, self.snapshot, limit).collect()
-        for r in seen.select("key", "version").collect():
-            self.reads.setdefault(r.key, r.version)
-        self.ranges.append((start, end))
-        return [(r.key, r.value) for r in out]
+        self._seen()
+        pending = self.store.spark.createDataFrame([(k, v, v is None) for k, v in self.writes.items()], TXN_WRITES)
+        if not self._latest:
+            self.ranges.append((start, end))
+        return overlay_range(self._log(), pending, start, end, None if self._latest else self.snapshot, limit)
+
+    def range(self, start: str, end: str, limit: int = 0) -> list[tuple[str, str]]:
+        """The rows of ``scan`` as a list, for ranges that fit the driver."""
+        return [(r.key, r.value) for r in self.scan(start, end, limit).collect()]
 
     def _conflict(self) -> bool:
         if self.level not in (Isolation.REPEATABLE_READ, Isolation.SERIALIZABLE):
@@ -115,8 +154,13 @@ class Transaction:
             return True
         if self.write_checks and self.writes and not write_conflicts(log, spark.createDataFrame([(k,) for k in self.writes], "key string"), self.snapshot).isEmpty():
             return True
-        if self.level is Isolation.SERIALIZABLE:
-            return any(not log.where(in_range(F.col("key"), a, b) & (F.col("version") > self.snapshot)).isEmpty() for a, b in self.ranges)
+        for start, end in self.ranges:
+            rows = log.where(in_range(F.col("key"), start, end))
+            newer = rows.where(F.col("version") > self.snapshot)
+            if self.level is not Isolation.SERIALIZABLE:  # only rows that were read, not ones that appeared
+                newer = newer.join(read.snapshot_scan(rows, self.snapshot), "key", "left_semi")
+            if not newer.isEmpty():
+                return True
         return False
 
     def commit(self) -> Status:
@@ -125,13 +169,16 @@ class Transaction:
             return Status.WRONG_GROUP
         self.closed = True
         try:
-            if self.shard is None:
+            if self.snapshot is None:
                 return Status.OK
-            rows = self.store.spark.createDataFrame(list(self.writes.items()), "key string, value string") if self.writes else None
-            return self.store.commit(rows, check=lambda: not self._conflict())
+            if not self.store.touch(self):
+                return Status.CONFLICT
+            return self.store.commit(self._frame(self.writes) if self.writes else None, check=lambda: not self._conflict())
         finally:
             self.store.end(self)
 
     def abort(self) -> None:
+        if self.undo and not self.closed:
+            self.store.commit(self._frame(self.undo))
         self.closed = True
         self.store.end(self)
