@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +74,19 @@ class Bloom:
     ``n`` and ``p`` fix the number of bits, so the words that reach the driver are bounded.
     """
 
+    MOST = 1_000_000  # keys a filter is sized for; more keys only make more false positives
+
     def __init__(self, n: int = 65_536, p: float = 0.1):
         self.bits = max(64, math.ceil(-n * math.log(p) / math.log(2) ** 2))
         self.hashes = max(1, math.ceil(self.bits / n * math.log(2)))
         self.words: dict[int, int] = {}
 
+    @classmethod
+    def of(cls, df: DataFrame, key: str, p: float = 0.1) -> Bloom:
+        """A filter of a table's keys, sized by their number up to MOST."""
+        n = df.agg(F.approx_count_distinct(key)).first()[0]
+        return cls(min(cls.MOST, max(1000, n)), p).build(df, key)
+
     def _places(self, key: Column) -> Column:
         return F.array(*[F.pmod(F.xxhash64(key, F.lit(k)), F.lit(self.bits)) for k in range(self.hashes)])
 
@@ -87,6 +96,16 @@ class Bloom:
         self.words = {r.w: r.x for r in rows.collect()}
         return self
 
+    def to_bytes(self) -> bytes:
+        return struct.pack("<qi", self.bits, self.hashes) + b"".join(struct.pack("<q", self.words.get(w, 0)) for w in range(self.bits // 64 + 1))
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Bloom:
+        out = cls()
+        out.bits, out.hashes = struct.unpack_from("<qi", raw)
+        out.words = {w: x for w, (x,) in enumerate(struct.iter_unpack("<q", raw[12:])) if x}
+        return out
+
     def may_contain(self, key: Column) -> Column:
         table = F.lit([self.words.get(w, 0) for w in range(self.bits // 64 + 1)])
 

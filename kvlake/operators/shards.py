@@ -112,11 +112,11 @@ def migration_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def reconfigure(before: DataFrame, after: DataFrame, gid: int) -> DataFrame:
-    """State of each shard at a group on the step from one configuration to the next."""
+    """State of each shard at a group on the step from one configuration to the next; no rows for any other step."""
     first = F.col("from_gid") == 0
     state = F.when((F.col("to_gid") == gid) & (F.col("from_gid") == gid), "Serving").when((F.col("to_gid") == gid) & first, "Serving").when(F.col("to_gid") == gid, "Pulling").when(F.col("from_gid") == gid, "BePulling").otherwise("Absent")
-    a, b = owners(before).selectExpr("shard", "gid as from_gid"), owners(after).selectExpr("shard", "gid as to_gid", "num")
-    return a.join(b, "shard").select("num", "shard", F.col("to_gid").alias("gid"), state.alias("state"))
+    a, b = owners(before).selectExpr("shard", "gid as from_gid", "num as was"), owners(after).selectExpr("shard", "gid as to_gid", "num")
+    return a.join(b, "shard").where("num = was + 1").select("num", "shard", F.col("to_gid").alias("gid"), state.alias("state"))
 
 
 def insert_shard(log: DataFrame, pulled: DataFrame, status: DataFrame, config_num: int) -> DataFrame:
@@ -140,6 +140,12 @@ def hit_rate(requests: DataFrame) -> DataFrame:
     return requests.agg(F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("hit_rate"))
 
 
+def traffic(calls: DataFrame) -> DataFrame:
+    """(op, sent, received) -> number of calls of each op and their bytes."""
+    size = lambda c: F.sum(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint"))
+    return calls.groupBy("op").agg(F.count("*").alias("calls"), size("sent").alias("bytes_sent"), size("received").alias("bytes_received"))
+
+
 def commit_index(match: DataFrame) -> DataFrame:
     """(grp, server, match_index) -> the greatest index that a majority of each group holds."""
     ordered = F.reverse(F.array_sort(F.collect_list("match_index")))

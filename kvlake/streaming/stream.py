@@ -1,23 +1,29 @@
-"""The op log as a stream: newest state, request deduplication, ingest, sessions.
+"""The op log as a stream: newest state, request deduplication, ingest, the state machine, windows.
 
-A file source delivers the files of a micro-batch in no log order, so processors
-compare versions and never rely on arrival.
+A file source delivers files in no log order, so nothing here relies on arrival:
+newest rows are chosen by version, deduplication gives the same set of ops in any
+order, and the state machine waits for the unbroken run of indexes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kvlake.schema import KV_LOG, OP_LOG
 from kvlake.shipping import ship_package
+from kvlake.sources.registry import TxnRegistry
+from kvlake.sources.service import ShardService
 from kvlake.sources.store import KVStore
 
+__all__ = ["HighWater", "TxnRegistry", "apply_stream", "dedup_stream", "ingest", "latest_by_key", "run_to_end", "stream_log", "stream_ops", "windowed_counts"]
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,42 +36,39 @@ def stream_log(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return stream_ops(spark, path, files_per_batch, KV_LOG)
 
 
-class Newest(StatefulProcessor):
-    """Keeps the row of greatest (version, seq) of a key and emits it when it changes."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("row", "version bigint, seq bigint, value string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.row.get() if self.row.exists() else None
-        before = best
-        for part in rows:
-            for r in part.itertuples():
-                if best is None or (r.version, r.seq) > (best[0], best[1]):
-                    best = (int(r.version), int(r.seq), None if r.value is None or r.value != r.value else r.value)
-        if best is not None and best != before:
-            self.row.update(tuple(best))
-            yield pd.DataFrame({"key": [key[0]], "value": [best[2]], "version": [best[0]]})
-
-    def close(self) -> None:
-        pass
+class HighWater(StatefulProcessor):
+    """An op passes if its rpc_id exceeds those of all ops of its client with smaller versions.
 
+    The ops that pass are kept as a rising staircase of (version, rpc_id). An op that comes late
+    is put in its place; later ops that it overtakes no longer pass, and a row with ``passes``
+    false takes each of them back. So the result does not depend on arrival. Steps more than
+    ``late`` versions behind the newest are settled: of them only the highest is kept.
+    """
 
-class HighWater(StatefulProcessor):
-    """Passes an op if its rpc_id exceeds all its client has sent; ops of a micro-batch are put in log order first."""
+    def __init__(self, late: int):
+        self.late = late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "rpc_id bigint")
+        self.steps = handle.getListState("steps", "version bigint, rpc_id bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        ordered = pd.concat(list(rows)).sort_values("version", kind="stable")
-        top = ordered["rpc_id"].cummax().shift()
-        floor = top.fillna(-(2**62)) if last is None else top.fillna(last).clip(lower=last)
-        passed = ordered[ordered["rpc_id"] > floor]
-        if len(passed):
-            self.last.update((int(passed["rpc_id"].max()),))
-            yield passed[["client_id", "rpc_id", "version"]]
+        steps = [(int(v), int(r)) for v, r in self.steps.get()] if self.steps.exists() else []
+        now = dict(steps)
+        for part in rows:
+            for version, rpc in sorted(zip(part["version"].tolist(), part["rpc_id"].tolist(), strict=True)):
+                at = bisect_left(steps, (version,))
+                if at and steps[at - 1][1] >= rpc or at < len(steps) and steps[at][0] == version:
+                    continue
+                end = at
+                while end < len(steps) and steps[end][1] <= rpc:
+                    end += 1
+                steps[at:end] = [(version, rpc)]
+        after = dict(steps)
+        changes = [(v, r, True) for v, r in after.items() if v not in now] + [(v, r, False) for v, r in now.items() if v not in after]
+        settled = bisect_left(steps, (steps[-1][0] - self.late,)) if steps else 0
+        self.steps.put(steps[max(0, settled - 1) :])
+        if changes:
+            yield pd.DataFrame({"client_id": key[0], "rpc_id": [r for _, r, _ in changes], "version": [v for v, _, _ in changes], "passes": [p for *_, p in changes]})
 
     def close(self) -> None:
         pass
@@ -73,59 +76,46 @@ class HighWater(StatefulProcessor):
 
 def latest_by_key(log: DataFrame) -> DataFrame:
     """Stream of (key, value, version) updates; the row of greatest version of a key is its state."""
-    ship_package(log.sparkSession)
-    return log.groupBy("key").transformWithStateInPandas(Newest(), "key string, value string, version bigint", "Update", "None")
+    best = F.max_by(F.struct("value", "version"), F.struct("version", "seq")).alias("r")
+    return log.groupBy("key").agg(best).select("key", "r.value", "r.version")
 
 
-def dedup_stream(ops: DataFrame) -> DataFrame:
+def dedup_stream(ops: DataFrame, late: int = 1_000_000) -> DataFrame:
+    """Stream of (client_id, rpc_id, version, passes): the last row of an op says whether it passes."""
     ship_package(ops.sparkSession)
-    return ops.groupBy("client_id").transformWithStateInPandas(HighWater(), "client_id bigint, rpc_id bigint, version bigint", "Append", "None")
+    return ops.select("client_id", "rpc_id", "version").groupBy("client_id").transformWithStateInPandas(HighWater(late), "client_id bigint, rpc_id bigint, version bigint, passes boolean", "Update", "None")
 
 
 def ingest(log: DataFrame, store_path: str, checkpoint: str):
-    """Write a log stream into a store; a batch that is delivered again is found by its number and skipped."""
+    """Write a log stream into a store; the manifest that adds a batch notes its number, so a batch delivered again adds nothing."""
 
     def put(rows: DataFrame, batch: int) -> None:
-        store = KVStore(rows.sparkSession, store_path)
-        marker = store._hadoop.Path(f"{store.path}/ingested/{batch}")
-        if not store._fs.exists(marker):
-            store.add_log(rows.dropDuplicates(["key", "version", "value"]))
-            store._fs.create(marker, True).close()
+        KVStore(rows.sparkSession, store_path).add_log(rows.dropDuplicates(["key", "version", "value"]), checkpoint, batch)
 
     return log.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Event-time counts by type with a watermark for late rows; ``ts`` without zone is read as UTC."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
-
+def apply_stream(ops: DataFrame, store_path: str, gid: int, checkpoint: str):
+    """Feed a stream of ops to a group's state machine, which applies each index once and in order."""
 
-class TxnRegistry:
-    """Snapshots of open transactions with an idle limit; gives the compaction watermark."""
+    def feed(rows: DataFrame, batch: int) -> None:
+        ShardService(KVStore(rows.sparkSession, store_path), gid).feed(rows)
 
-    def __init__(self, ttl: float = 30.0, clock=None):
-        import time
+    return ops.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-        self.ttl, self.clock, self.open = ttl, clock or time.monotonic, {}
 
-    def register(self, txn: int, snapshot: int) -> None:
-        self.open[txn] = (snapshot, self.clock())
+def run_to_end(updates: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of updates over all that its source holds now; its rows, with the number of their ``batch``."""
 
-    def touch(self, txn: int) -> bool:
-        self.sweep()
-        if txn not in self.open:
-            return False
-        self.open[txn] = (self.open[txn][0], self.clock())
-        return True
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
-    def release(self, txn: int) -> None:
-        self.open.pop(txn, None)
+    updates.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = StructType([*updates.schema.fields, StructField("batch", IntegerType())])
+    return updates.sparkSession.read.schema(schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
 
-    def sweep(self) -> None:
-        now = self.clock()
-        self.open = {t: x for t, x in self.open.items() if now - x[1] <= self.ttl}
 
-    def watermark(self, last: int) -> int:
-        self.sweep()
-        return min([last, *(s for s, _ in self.open.values())])
+def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Event-time counts by type with a watermark for late rows; ``ts`` without zone is read as UTC."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
