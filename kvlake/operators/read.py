@@ -105,8 +105,11 @@ def as_of(log: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (key, snapshot, and any id columns) the version and value valid then.
 
     Rows and requests of a key are put on one time line, and the last row is carried
-    forward by a running window, so no pairs of versions and requests are made.
+    forward by a running window, so no pairs of versions and requests are made. A
+    request's own column named value or version is returned with the prefix ``request_``.
     """
+    clash = {c: f"request_{c}" for c in requests.columns if c in ("value", "version")}
+    requests = requests.withColumnsRenamed(clash)
     extra = [c for c in requests.columns if c not in ("key", "snapshot")]
     line = log.select("key", F.col("version").alias("__at"), F.lit(0).alias("__kind"), F.col("seq").alias("__seq"), F.struct("version", "value", "is_tombstone").alias("__row"), *[F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in extra]).unionByName(
         requests.select("key", F.col("snapshot").cast("bigint").alias("__at"), F.lit(1).alias("__kind"), F.lit(0).cast("bigint").alias("__seq"), F.lit(None).cast("struct<version:bigint,value:string,is_tombstone:boolean>").alias("__row"), *extra)

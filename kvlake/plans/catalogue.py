@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions import keys as K
-from kvlake.operators import check, compact, read, shards, txn, write
-from kvlake.sources.tables import customers_log, events_log, middle_version, orders_log
+from kvlake.operators import check, compact, machine, read, shards, txn, write
+from kvlake.sources.shared import shared_folder
+from kvlake.sources.tables import customers_log, event_rows, events_log, middle_version, orders_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,13 +30,21 @@ v as (select * from (select l.*, row_number() over (partition by key order by ve
 cur as (select * from (select l.*, row_number() over (partition by key order by version desc) as rn from l) where rn = 1),
 live as (select key, value, version from v where value is not null)"""
 SHARD = "coalesce(cast(nullif('0x' || substr(hex(encode(key)), 1, 2), '0x') as integer), 0) % 10"
-#: Two configurations of the shard controller: groups 1 and 2, then group 3 joins.
+#: Configurations of the shard controller: none; groups 1 and 2; group 3 joins; group 1 leaves; shard 4 is moved to group 3.
 _HISTORY = shards.ConfigHistory()
 _HISTORY.join({1: ["a", "b"], 2: ["c"]})
 _HISTORY.join({3: ["d"]})
 _HISTORY.leave([1])
 _HISTORY.move(4, 3)
-_ROWS = ", ".join(f"({c.num}, {s}, {g})" for c in _HISTORY.all for s, g in enumerate(c.shards))
+#: The same, worked out by hand: fixed values of the oracles, which do not run the code that is tested.
+_OWNERS = (
+    (0, 0, 0, 0, 0, 0, 0, 0, 0, 0),
+    (1, 1, 1, 1, 1, 2, 2, 2, 2, 2),
+    (1, 1, 1, 1, 3, 2, 2, 2, 3, 3),
+    (2, 2, 3, 3, 3, 2, 2, 2, 3, 3),
+    (2, 2, 3, 3, 3, 2, 2, 2, 3, 3),
+)
+_ROWS = ", ".join(f"({num}, {s}, {g})" for num, owners in enumerate(_OWNERS) for s, g in enumerate(owners))
 CONF = f"conf(num, shard, gid) as (values {_ROWS})"
 
 
@@ -127,11 +136,11 @@ def merge_newest(spark, d):
 
 
 @query(
-    """, q as (select event_id, cast(user_id as varchar) as key, (event_id + 1) - (event_id * 31) % 500 as snapshot from events where event_id % 5 = 0)
+    """, q as (select event_id, cast(user_id as varchar) as key, (event_id + 1) - (event_id * 31) % 500 as snapshot from events)
 select q.event_id, q.key, q.snapshot, l.value, coalesce(l.version, 0)::bigint as version from q asof left join l on q.key = l.key and q.snapshot >= l.version""".lstrip()
 )
 def as_of_reads(spark, d):
-    asked = spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 = 0").select("event_id", F.col("user_id").cast("string").alias("key"), ((F.col("event_id") + 1) - (F.col("event_id") * 31) % 500).alias("snapshot"))
+    asked = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("key"), ((F.col("event_id") + 1) - (F.col("event_id") * 31) % 500).alias("snapshot"))
     return read.as_of(_log(spark, d), asked)
 
 
@@ -346,13 +355,66 @@ def checksums(spark, d):
     return _log(spark, d).where("value is not null").select("key", "version", K.checksum(F.col("value")).alias("crc"))
 
 
-@query("select key, version from live")
+@query("select c_custkey, cast(c_custkey % 400 as varchar) as key from customer where cast(c_custkey % 400 as varchar) in (select key from live)")
 def bloom_semi_join(spark, d):
-    """A filter of the live keys lets every live key through; an exact semi join drops its false positives."""
+    """Customers whose key is live: a filter of the live keys drops most others before the exact semi join, which drops its false positives."""
     log = _log(spark, d)
     live = read.snapshot_scan(log, middle_version(log))
-    bloom = K.Bloom(10_000, 0.05).build(live, "key")
-    return live.where(bloom.may_contain(F.col("key"))).select("key", "version")
+    asked = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 400).cast("string").alias("key"))
+    return asked.where(K.Bloom.of(live, "key", 0.05).may_contain(F.col("key"))).join(live.select("key"), "key", "left_semi")
+
+
+@query("select event_type as op, count(*) as calls, sum(strlen(props))::bigint as bytes_sent, sum(coalesce(strlen(value), 0))::bigint as bytes_received from (select e.event_type, e.props, l.value from events e join l on l.version = e.event_id + 1) group by 1")
+def traffic(spark, d):
+    log = _log(spark, d).select("version", F.col("value").alias("received"))
+    calls = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") + 1).alias("version"), F.col("event_type").alias("op"), F.col("props").alias("sent"))
+    return shards.traffic(calls.join(log, "version"))
+
+
+def _events(spark, d):
+    """The events table as a stream of files."""
+    return spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("select key, value, version from cur")
+def stream_latest(spark, d):
+    """The newest row of every key by an update-mode stream, run to the end of its source."""
+    from kvlake.streaming import stream
+
+    updates = stream.run_to_end(stream.latest_by_key(event_rows(_events(spark, d))), shared_folder(spark, "stream"))
+    return updates.groupBy("key").agg(F.max_by(F.struct("value", "version"), "version").alias("r")).select("key", "r.*")
+
+
+@query("select client_id, rpc_id, version from (select *, max(rpc_id) over (partition by client_id order by version rows between unbounded preceding and 1 preceding) as seen from l) where seen is null or rpc_id > seen")
+def stream_dedup(spark, d):
+    """Deduplication by high-water mark as a stream whose result does not depend on arrival."""
+    from kvlake.streaming import stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    updates = stream.run_to_end(stream.dedup_stream(event_rows(_events(spark, d))), shared_folder(spark, "stream"))
+    last = updates.groupBy("client_id", "version").agg(F.max_by(F.struct("rpc_id", "passes"), "batch").alias("r"))
+    return last.where("r.passes").select("client_id", "r.rpc_id", "version")
+
+
+_MACHINE = f"""m as (
+  select version as idx, client_id, version // 20 as rpc_id, key, value, ({SHARD}) <> 3 as open,
+         case event_type when 'view' then 'Get' when 'signup' then 'Put' when 'error' then 'Delete' else 'Append' end as op from l),
+p as (select *, open and rpc_id > coalesce(max(case when open then rpc_id end) over (partition by client_id order by idx rows between unbounded preceding and 1 preceding), -1) as applied from m),
+g as (select *, count(case when op in ('Put', 'Delete') then 1 end) over (partition by key order by idx) as grp from p where applied),
+f as (select *, string_agg(case when op in ('Put', 'Append') then value end, '') over (partition by key, grp order by idx) as state from g),
+a as (select idx, case when op = 'Get' and state is null then 'ErrNoKey' else 'OK' end as status, case when op = 'Get' then state end as value from f),
+w as (select p.idx, p.client_id, p.rpc_id, p.open, p.applied, case when p.applied then {{'status': a.status, 'value': a.value}} end as given from p left join a using (idx)),
+x as (select *, last_value(given ignore nulls) over (partition by client_id order by idx rows between unbounded preceding and current row) as answer from w)"""
+
+
+@query(f", {_MACHINE} select idx, client_id, rpc_id, case when open then answer.status else 'ErrWrongGroup' end as status, case when open then answer.value end as value, applied from x")
+def apply_ops(spark, d):
+    """The op log through the state machine of a group that serves all shards but one."""
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "Get").when(kind == "signup", "Put").when(kind == "error", "Delete").otherwise("Append")
+    ops = _log(spark, d).select(F.col("version").alias("idx"), "client_id", F.floor(F.col("version") / 20).alias("rpc_id"), op.alias("op"), "key", "value")
+    none = spark.createDataFrame([], "key string, value string")
+    return machine.apply_ops(ops, none, served=[k for k in range(10) if k != 3])[0]
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n from events group by all")
@@ -373,4 +435,4 @@ def _history(spark, d):
 
 @query(None)
 def linearizability(spark, d):
-    return check.check_by_key(_history(spark, d), timeout=5.0).select("key", "result", "operations")
+    return check.check_by_key(_history(spark, d), timeout=0).select("key", "result", "operations")

@@ -24,7 +24,11 @@ def _log(df: DataFrame, key, value, version, *extra) -> DataFrame:
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a log: users are keys, events are versions, errors are tombstones."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return event_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def event_rows(e: DataFrame) -> DataFrame:
+    """Rows of an events table, or stream, as log rows."""
     value = F.when(F.col("event_type") != "error", F.concat_ws(":", "event_type", F.col("event_id").cast("string")))
     return _log(e, F.col("user_id"), value, F.col("event_id") + 1, (F.col("user_id") % 7).alias("client_id"), ((F.col("event_id") * 7919) % 101).alias("rpc_id"), "event_type")
 
