@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.shipping import ship_package
+from kvlake.sources.shared import remove_folder, shared_folder
+
+__all__ = ["Rolling", "WordHashes", "batches", "crc_mod", "map_batches", "mix", "remove_folder", "shared_folder", "split_words", "stored", "table", "trim", "word_hashes"]
 
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
@@ -84,6 +85,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> SHIFT)
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every word of a UTF-8 text (words as in ``split_words``).
+
+    A word's hash is a sum over its 8-byte blocks, each mixed together with its number. No
+    sum of powers is involved, so words cannot be built that collide whatever the constants.
+    """
+    data, n = np.frombuffer(raw + bytes(8), np.uint8), len(raw)
+    inside = np.empty(n, bool)
+    np.not_equal(data[:n], 32, out=inside)
+    inside &= (data[:n] - np.uint8(9)) > 4
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    blocks = np.ndarray((n + 1,), "<u8", data.data, strides=(1,))
+    length = end - start
+    x = blocks[start]
+    short = np.flatnonzero(length < 8)
+    x[short] &= (np.uint64(1) << (np.uint64(8) * length[short].astype(np.uint64))) - np.uint64(1)
+    h = mix(x + _STEP)
+    long = np.flatnonzero(length > 8)
+    if len(long):
+        more = (length[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        j = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        at = np.repeat(start[long], more) + 8 * j
+        left = np.repeat(end[long], more) - at
+        x = blocks[at]
+        short = np.flatnonzero(left < 8)
+        x[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+        h[long] += np.add.reduceat(mix(x + (j + 1).astype(np.uint64) * _STEP), first)
+    return mix(h ^ mix(length.astype(np.uint64))), start, end
+
+
 class Rolling:
     """Polynomial window hashes mod 2**64 of whole arrays at once.
 
@@ -121,36 +157,14 @@ class Rolling:
         return mix((prefix[n:] - prefix[:count]) * self.up[:count])
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, removed when the driver ends.
-
-    Only a local master, whose executors are the driver's own threads, gets a folder of its own where none is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{base.rstrip('/')}/kvlake-{purpose}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, purpose)
+    path = path or shared_folder(df.sparkSession, purpose)
     schema = df.schema
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of the decimal text of an id, modulo n; null ids count as remainder 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0)).cast("int")

@@ -38,7 +38,6 @@ handed on by ``keep_representatives``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kvlake.llm import blobs
-from kvlake.llm.common import Rolling, WordHashes, map_batches, mix, remove_folder, shared_folder
+from kvlake.llm.common import Rolling, map_batches, mix, remove_folder, shared_folder, word_hashes
 from kvlake.llm.graph import components
 from kvlake.shipping import ship_package
 
@@ -58,7 +57,6 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = np.random.default_rng(31).integers(1, 1 << 63, MINS, np.uint64)
 
 
-_WORDS = WordHashes()
 GROUP_CHARS, GROUP_TEXTS = 600_000, 60_000
 
 
@@ -77,14 +75,15 @@ def groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text, one after another, and how many each has.
 
-    Words are hashed with xxh3; a shingle's hash is a polynomial of K such hashes.
+    A shingle's hash is a polynomial of the hashes of its K words.
     """
-    split = [x.encode("utf-8", "surrogatepass").translate(_LOWER).split() if x else [] for x in texts]
-    counts = np.fromiter(map(len, split), np.int64, len(split))
-    words = _WORDS.of(list(chain.from_iterable(split)))
+    raws = [(x or "").encode("utf-8", "surrogatepass").translate(_LOWER) for x in texts]
+    ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1) - 1
+    words, start, _ = word_hashes(b"\n".join(raws) + b"\n")
+    owner = np.searchsorted(ends, start, "left")
+    counts = np.bincount(owner, minlength=len(texts))
     if not len(words):
         return np.zeros(0, np.uint64), counts
-    owner = np.repeat(np.arange(len(split)), counts)
     last = np.cumsum(counts)[owner]  # where the text of each word ends
     prefix = _ROLL.prefix(words)
     at = np.arange(len(words))

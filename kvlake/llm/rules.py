@@ -11,7 +11,7 @@ the characters in words, is exceeded:
 * n = 5 to 10: words covered by an occurrence of an n-gram after its first;
 * words in lines equal to an earlier line, and the share of such lines.
 
-Words are hashed with xxh3; the rolling hash runs over the words' hashes.
+The rolling hash runs over the hashes of whole words.
 
 All comparisons are of integers, so ties at a limit are kept, on every engine
 alike. Defined cases: a null or empty text has zero counts and fails the base
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kvlake.llm.common import Rolling, WordHashes, map_batches
+from kvlake.llm.common import Rolling, map_batches, word_hashes
 
 #: Percent of the characters in words; fixed values of published repetition rules.
 TOP_LIMITS = {2: 20, 3: 18, 4: 16}
@@ -37,19 +37,16 @@ DUP_LINE_LIMIT, DUP_LINE_CHARS_LIMIT = 30, 20
 SYMBOLS = "#*$%&|<>"
 
 COLUMNS = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, max_cover_percent double"
-_ROLL, _WORDS = Rolling(), WordHashes()
+_ROLL = Rolling()
 _IS_SYMBOL = np.zeros(256, np.int64)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = 1
 
 
 def word_arrays(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and number of code points of every word of a UTF-8 text."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return _WORDS.of(raw.split()), points[end] - points[start]
+    hashes, start, end = word_hashes(raw)
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
+    return hashes, points[end] - points[start]
 
 
 def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -38,3 +38,34 @@ def test_stages_keep_the_columns_of_documents(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.dtypes == docs.dtypes
     assert decontam.MIN_WORDS == 5
+
+
+def small(spark, folder, docs, labels=(), bench=()):
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, score double").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(bench), "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_nulls_repeats_and_extra_columns_through_run(spark, tmp_path):
+    text = "one plain line of words that is kept as it is by every stage of the pipeline"
+    docs = [(1, None, "en", "s", None, 1.0), (2, "", "en", "s", 0, None), (3, text, None, None, 76, 0.5), (3, text, None, None, 76, 0.5), (4, text, "en", "s", 76, None), (5, "write to a.b@example.com or +1 555 123 4567 about the other matters of today", "en", "s", 70, 2.0), (None, "no id but words enough for a line of its own", "en", "s", 44, 0.0), (6, "an item of the benchmark stands in here, word for word", "en", "s", 54, 1.0)]
+    sf = small(spark, tmp_path, docs, bench=[(1, "the benchmark stands in here, word for"), (2, None)])
+    library = Tokenizer.from_file(bpe.tokenizer_path())
+    masked = "write to <EMAIL> or <PHONE> about the other matters of today"
+    want = sorted((i, len(library.encode(t, add_special_tokens=False).ids)) for i, t in ((3, text), (3, text), (5, masked)))
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got if r.doc_id is not None) == want
+    assert [r.n_tokens for r in got if r.doc_id is None] == [len(library.encode(docs[6][1], add_special_tokens=False).ids)]
+
+
+def test_empty_tables_through_run(spark, tmp_path):
+    out = corpus_pipeline.run(spark, small(spark, tmp_path, []))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_encode_takes_nulls(spark):
+    docs = spark.createDataFrame([(1, None), (None, "x")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert got[1] == (0, none, none) and got[None][0] == 1
