@@ -16,7 +16,7 @@ from kvlake.schema import Status
 _ROW = ("value", "is_tombstone", "version", "seq")
 
 
-def visible(log: DataFrame, snapshot: int | None = None) -> DataFrame:
+def visible(log: DataFrame, snapshot: int | Column | None = None) -> DataFrame:
     return log if snapshot is None else log.where(F.col("version") <= F.lit(snapshot))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kvlake.functions import keys as K
 from kvlake.operators import check, compact, machine, read, shards, txn, write
 from kvlake.sources.shared import shared_folder
-from kvlake.sources.tables import customers_log, event_rows, events_log, middle_version, orders_log
+from kvlake.sources.tables import customers_log, event_rows, events_log, middle_of, middle_version, orders_log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +65,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 @query("select * from live")
 def snapshot_scan(spark, d):
     log = _log(spark, d)
-    return read.snapshot_scan(log, middle_version(log))
+    return read.snapshot_scan(log, middle_of(log))
 
 
 @query("select key, value, version from cur where value is not null")
@@ -76,44 +76,44 @@ def latest_scan(spark, d):
 @query("select * from live where key >= '10' and key < '14' order by key limit 25")
 def range_scan_limit(spark, d):
     log = _log(spark, d)
-    return read.range_scan(log, "10", "14", middle_version(log), 25)
+    return read.range_scan(log, "10", "14", middle_of(log), 25)
 
 
 @query("select * from live where key >= '5'")
 def range_scan_open(spark, d):
     log = _log(spark, d)
-    return read.range_scan(log, "5", "", middle_version(log))
+    return read.range_scan(log, "5", "", middle_of(log))
 
 
 @query("select * from live where starts_with(key, '11')")
 def prefix_scan(spark, d):
     log = _log(spark, d)
-    return read.prefix_scan(log, "11", middle_version(log))
+    return read.prefix_scan(log, "11", middle_of(log))
 
 
 @query("select * from live where key between '2' and '3'")
 def predicate_scan(spark, d):
     log = _log(spark, d)
-    return read.predicate_scan(log, F.col("key").between("2", "3"), middle_version(log))
+    return read.predicate_scan(log, F.col("key").between("2", "3"), middle_of(log))
 
 
 @query("select * from live where length(key) = 2")
 def monotone_scan(spark, d):
     log = _log(spark, d)
-    return read.monotone_scan(log, lambda k: 2 - len(k), middle_version(log))
+    return read.monotone_scan(log, lambda k: 2 - len(k), middle_of(log))
 
 
 @query("select '17' as key, v.value, coalesce(v.version, 0)::bigint as version, case when v.value is null then 'ErrNoKey' else 'OK' end as status from (select 1) left join v on key = '17'")
 def point_get(spark, d):
     log = _log(spark, d)
-    return read.get(log, "17", middle_version(log))
+    return read.get(log, "17", middle_of(log))
 
 
 @query("select k.key, v.value, coalesce(v.version, 0)::bigint as version, case when v.value is null then 'ErrNoKey' else 'OK' end as status from (select distinct cast(c_custkey % 400 as varchar) as key from customer) k left join v on v.key = k.key")
 def multi_get(spark, d):
     log = _log(spark, d)
     wanted = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 400).cast("string").alias("key"))
-    return read.multi_get(log, wanted, middle_version(log))
+    return read.multi_get(log, wanted, middle_of(log))
 
 
 @query("select key, value, version, lead(version) over (partition by key order by version) as valid_to from l")
@@ -125,14 +125,14 @@ def version_history(spark, d):
 def versions_merge(spark, d):
     log = _log(spark, d)
     odd, even = log.where("version % 2 = 1"), log.where("version % 2 = 0")
-    return read.merge_versions(odd, even, snapshot=middle_version(log)).select("key", "value", "version")
+    return read.merge_versions(odd, even, snapshot=middle_of(log)).select("key", "value", "version")
 
 
 @query("select key, value, version from live")
 def merge_newest(spark, d):
     log = _log(spark, d)
     runs = [log.where(F.col("version") % 3 == k) for k in range(3)]
-    return read.merge_newest(*runs, snapshot=middle_version(log)).select("key", "value", "version")
+    return read.merge_newest(*runs, snapshot=middle_of(log)).select("key", "value", "version")
 
 
 @query(
@@ -209,13 +209,13 @@ def _pending(spark, d):
 @query(f", {_WRITES} select coalesce(live.key, w.key) as key, case when w.key is not null then own else value end as value from (select * from live where key >= '1' and key < '2') live full join (select * from w where key >= '1' and key < '2') w on live.key = w.key where not coalesce(is_delete, false)")
 def txn_overlay_range(spark, d):
     log = _log(spark, d)
-    return txn.overlay_range(log, _pending(spark, d), "1", "2", middle_version(log))
+    return txn.overlay_range(log, _pending(spark, d), "1", "2", middle_of(log))
 
 
 @query("select v.key, v.version as seen, cur.version as current from v join cur using (key) where v.version <> cur.version")
 def txn_validate(spark, d):
     log = _log(spark, d)
-    return txn.conflicts(log, read.newest(log, middle_version(log)).select("key", "version"))
+    return txn.conflicts(log, read.newest(log, middle_of(log)).select("key", "version"))
 
 
 @query(f", {_WRITES} select key, max(version) as current from l, s where version > s.s and key in (select key from w) group by key")
@@ -238,7 +238,7 @@ def shard_stats(spark, d):
 @query(f"select shard, key, value, version from (select *, row_number() over (partition by shard order by key) as rn from (select *, {SHARD} as shard from live)) where rn <= 3")
 def shard_limit(spark, d):
     log = _log(spark, d)
-    live = read.snapshot_scan(log, middle_version(log)).withColumn("shard", K.key2shard(F.col("key")))
+    live = read.snapshot_scan(log, middle_of(log)).withColumn("shard", K.key2shard(F.col("key")))
     return read.limit_by_shard(live, 3)
 
 
@@ -274,21 +274,21 @@ def reconfigure_status(spark, d):
 @query(f"select live.key, live.version, c.shard, c.gid, case c.gid when 1 then 'a,b' when 2 then 'c' when 3 then 'd' end as servers from (select *, {SHARD} as shard from live) live join conf c on c.shard = live.shard and c.num = 2")
 def route(spark, d):
     log = _log(spark, d)
-    live = read.snapshot_scan(log, middle_version(log)).select("key", "version", K.key2shard(F.col("key")).alias("shard"))
+    live = read.snapshot_scan(log, middle_of(log)).select("key", "version", K.key2shard(F.col("key")).alias("shard"))
     return shards.route(live, _config(spark, 2)).withColumn("servers", F.array_join("servers", ","))
 
 
 @query(f"select key, version from live where exists (select 1 from conf where num = 2 and gid = 2 and shard = {SHARD})")
 def owned_semi(spark, d):
     log = _log(spark, d)
-    live = read.snapshot_scan(log, middle_version(log)).withColumn("shard", K.key2shard(F.col("key")))
+    live = read.snapshot_scan(log, middle_of(log)).withColumn("shard", K.key2shard(F.col("key")))
     return shards.served(live, shards.owners(_config(spark, 2)).withColumn("state", F.lit("Serving")), 2).select("key", "version")
 
 
 @query(f"select key, version from live where not exists (select 1 from conf where num = 2 and gid = 2 and shard = {SHARD})")
 def rejected_anti(spark, d):
     log = _log(spark, d)
-    live = read.snapshot_scan(log, middle_version(log)).withColumn("shard", K.key2shard(F.col("key")))
+    live = read.snapshot_scan(log, middle_of(log)).withColumn("shard", K.key2shard(F.col("key")))
     return shards.rejected(live, shards.owners(_config(spark, 2)).withColumn("state", F.lit("Serving")), 2).select("key", "version")
 
 
@@ -359,7 +359,7 @@ def checksums(spark, d):
 def bloom_semi_join(spark, d):
     """Customers whose key is live: a filter of the live keys drops most others before the exact semi join, which drops its false positives."""
     log = _log(spark, d)
-    live = read.snapshot_scan(log, middle_version(log))
+    live = read.snapshot_scan(log, middle_of(log))
     asked = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 400).cast("string").alias("key"))
     return asked.where(K.Bloom.of(live, "key", 0.05).may_contain(F.col("key"))).join(live.select("key"), "key", "left_semi")
 

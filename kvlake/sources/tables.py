@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions.keys import key2shard
@@ -44,6 +44,11 @@ def customers_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(c, F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey") + 1)
 
 
+def middle_of(log: DataFrame) -> Column:
+    """``middle_version`` as a subquery of the query that uses it."""
+    return log.agg(F.floor(F.coalesce(F.max("version"), F.lit(0)) / 2).cast("bigint")).scalar()
+
+
 def middle_version(log: DataFrame) -> int:
     """Half of the greatest version: a snapshot that grows with the data."""
     return (log.agg(F.max("version")).first()[0] or 0) // 2

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from kvlake.client import Client
 from kvlake.functions.keys import Bloom
 from kvlake.operators import check, machine, read, shards
+from kvlake.operators.txn import TransactionError
 from kvlake.schema import HISTORY, OP_LOG, Status
 from kvlake.sources.buffer import WriteBuffer
 from kvlake.sources.service import ShardService
@@ -127,6 +129,34 @@ def test_checkpoints_bring_everything_back(spark, tmp_path):
     assert again.get("a") == ("OK", "1+")
 
 
+def test_a_client_follows_configurations(spark, tmp_path):
+    history = shards.ConfigHistory()
+    groups = {1: service(spark, tmp_path, 1), 2: service(spark, tmp_path, 2)}
+    client = Client(history, groups, client_id=5, pause=0)
+    with pytest.raises(TransactionError):
+        client.get("a")
+    history.join({1: ["x"]})
+    assert groups[1].reconfigure(history.query()) is Status.OK and groups[2].reconfigure(history.query()) is Status.OK
+    assert client.get("a") is None and client.put("a", "1") is Status.OK and client.append("a", "2") is Status.OK and client.get("a") == "12"
+    assert groups[1].call(5, client.rpc_id, "Append", "a", "again") == ("OK", "12")  # the last request, sent again
+    assert client.put("b", "x") is Status.OK and [tuple(r) for r in client.range("a", "c").collect()] == [("a", "12"), ("b", "x")]
+    history.join({2: ["y"]})
+    for g in groups.values():
+        g.reconfigure(history.query())
+    moved = groups[2].migrate(groups)
+    assert len(moved) == 5 and client.get("a") == "12" and client.get("b") == "x"
+    assert [tuple(r) for r in client.range("", "", 1).collect()] == [("a", "12")]
+    txn = client.begin("a", "Serializable")
+    assert txn.get("a") == "12" and txn.put("a", "t") and not txn.put("b", "t")
+    assert txn.commit() is Status.WRONG_GROUP
+    txn = client.begin("a")
+    txn.put("a", "t")
+    with pytest.raises(TransactionError):
+        client.begin("a").range("", "b")
+    assert txn.commit() is Status.OK and client.get("a") == "t"
+    assert client.remove("a") is Status.OK and client.get("a") is None
+
+
 def test_the_buffer_freezes_and_flushes_oldest_first(spark, tmp_path):
     store = KVStore(spark, str(tmp_path / "store"))
     buffer = WriteBuffer(store, limit=8)
