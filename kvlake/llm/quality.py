@@ -16,8 +16,11 @@ hash, texts up to LONGEST characters), never held-out rows (crc32 of the id,
 modulo 5, is 0). Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: a text that is null or has no word scores 0; without labels of
-both classes every other text scores 0.5; a doc_id labelled twice counts with its
-least label; null ids are never training rows; repeated ids are scored row by row.
+both classes every other text scores 0.5; a score equal to the limit is good; a
+doc_id labelled twice counts with its least label; null ids are never training rows;
+repeated ids are scored row by row; texts of any length are scored whole, line by
+line; an empty table gives an empty one; other columns, whatever their names, are not
+read by ``score_quality`` and handed on by ``keep_good``.
 """
 
 from __future__ import annotations

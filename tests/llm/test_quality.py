@@ -66,3 +66,43 @@ def test_defined_cases(spark):
     odd = spark.createDataFrame([(4, 1, ""), (4, 0, ""), (None, 1, ""), (6, None, ""), (7, 3, "")], "doc_id bigint, quality int, text string")
     assert quality.score_quality(docs, odd).count() == 6
     assert quality.score_quality(docs.limit(0), odd).count() == 0
+
+
+def fitted(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    return quality.fit_quality(docs, labels)
+
+
+def test_documents_are_length_weighted_means_of_their_lines(spark):
+    model = fitted(spark)
+    texts = ["A line of words.\n!!! BUY NOW !!! $$$\nAnother line, of more words than before.", "one line", "", "x\n" * 50]
+    got = model.scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        bins, chars, lines = quality.line_features([text])
+        if not len(bins):
+            assert score == 0
+            continue
+        p = model.crf.good(bins, lines)
+        mean = sum(a * b for a, b in zip(p, chars, strict=True)) / sum(chars)
+        odds = np.log((mean + 1e-4) / (1 - mean + 1e-4))
+        assert abs(score - 1 / (1 + np.exp(-(model.slope * odds + model.shift)))) < 1e-9
+    assert np.allclose(model.scores(texts, at_once=5), got)
+
+
+def test_the_shift_puts_the_best_split_at_the_limit():
+    rng = np.random.default_rng(2)
+    model = quality.QualityModel(np.zeros((0, len(quality.EDGES)), np.uint8), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    x = np.concatenate([rng.normal(-2, 1, 300), rng.normal(2, 1, 300)])
+    labels = np.repeat([0, 1], 300)
+    model._calibrate(x, labels)
+    split = (np.log(quality.LIMIT / (1 - quality.LIMIT)) - model.shift) / model.slope
+    cost = lambda at: 2 * (x[labels == 1] < at).mean() + (x[labels == 0] >= at).mean()
+    assert model.slope > 0 and cost(split) <= min(cost(at) for at in x) + 1e-9
+
+
+def test_very_long_text_and_ties(spark):
+    model = fitted(spark)
+    line = "A plain line of words that is neither long nor short."
+    long = model.scores([(line + "\n") * 60_000, "word " * 400_000])
+    assert len(long) == 2 and (0 <= long).all() and (long <= 1).all()
+    assert len(set(model.scores([line] * 7).tolist())) == 1
