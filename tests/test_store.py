@@ -361,6 +361,12 @@ def test_streams(spark, tmp_path):
     assert sorted((c, r, v) for (c, v), (r, passes) in last.items() if passes) == sorted(tuple(r) for r in dedup_high_water(ops).collect())
 
 
+def test_a_stream_without_rows(spark, tmp_path):
+    spark.createDataFrame([], KV_LOG).write.parquet(str(tmp_path / "none"))
+    updates = stream.run_to_end(stream.latest_by_key(stream.stream_log(spark, str(tmp_path / "none"))), str(tmp_path / "out"))
+    assert updates.count() == 0 and updates.columns == ["key", "value", "version", "batch"]
+
+
 def test_ingest_adds_a_batch_once(spark, store):
     rows = spark.createDataFrame([("k", "x", False, 3, 3, 7)], KV_LOG)
     assert store.add_log(rows, "source", 4) is Status.OK and store.add_log(rows, "source", 4) is Status.REPEATED
