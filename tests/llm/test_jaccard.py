@@ -82,6 +82,15 @@ def test_words_made_to_collide_are_told_apart():
         assert len(a) == len(b) == 2 and len(a & b) == 1
 
 
+def test_very_long_texts_and_similarities_at_the_limit(spark):
+    words = [f"w{k}" for k in range(300_000)]
+    near = [*words[:200_000], "other", *words[200_000:]]
+    at_limit = [f"q{k}" for k in range(36)]  # 32 shingles; 4 more words on both sides of an equal stretch make 80 in a hundred
+    rows = [(1, " ".join(words), 0, ""), (2, " ".join(near), 0, ""), (3, " ".join(at_limit), 0, ""), (4, " ".join([*at_limit, *[f"r{k}" for k in range(8)]]), 0, ""), (5, " ".join([*at_limit, *[f"s{k}" for k in range(9)]]), 0, "")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (299_996, 1), 2: (299_997, 1), 3: (32, 3), 4: (40, 3), 5: (41, 5)}
+
+
 def test_list_pairs_lose_nothing():
     rng = np.random.default_rng(5)
     for _ in range(30):

@@ -95,6 +95,38 @@ def test_defined_cases(spark):
     assert langid.identify_languages(spark.createDataFrame([], names)).count() == 0
 
 
+def test_many_languages_are_told_apart():
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(97, 123), *range(0xE0, 0xF6), *range(0x3B1, 0x3C9), *range(0x430, 0x450)]]
+    rows, tests = [], []
+    for k in range(60):
+        own = rng.sample(letters, 9)
+        text = lambda own=own: " ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 8))) for _ in range(80))
+        rows += [(f"l{k:02d}", text()) for _ in range(10)]
+        tests.append((f"l{k:02d}", text()))
+    model = langid.Identifier(rows)
+    names, scores, _ = model.predict([t for _, t in tests], langid.WordRows(60))
+    assert np.mean([a == b for (a, _), b in zip(tests, names, strict=True)]) > 0.97 and all(0 <= x <= 1 for x in scores)
+
+
+def test_values_by_language_equal_a_dictionary():
+    rng = np.random.default_rng(6)
+    store = {k: (np.unique(rng.integers(1, 300, 80).astype(np.uint64) << np.uint64(54)), None) for k in range(7)}
+    store = {k: (keys, rng.random(len(keys)).astype(np.float32)) for k, (keys, _) in store.items()}
+    values = langid.Values(store, 7, 1.0)
+    plain = {(int(h), k): float(v) for k, (keys, vs) in store.items() for h, v in zip(keys, vs, strict=True)}
+    wanted = rng.integers(1, 300, 500).astype(np.uint64) << np.uint64(54)
+    np.testing.assert_array_equal(values.of(wanted), np.array([[plain.get((int(h), k), 1.0) for k in range(7)] for h in wanted], np.float32))
+    assert langid.Values({}, 3, 0.0).of(wanted).shape == (500, 3)
+
+
+def test_very_long_text(spark):
+    docs = [(k, ["the cat and the hat", "der hund und die katze"][k % 2], ["en", "de"][k % 2]) for k in range(100, 160)]
+    docs.append((1, "die katze und der hund " * 200_000 + "the", None))
+    out = langid.identify_languages(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert {r.lang_pred for r in out.where("doc_id = 1").collect()} == {"de"}
+
+
 @pytest.mark.parametrize("text", ["\x01", "a\ud800b", "İ" * 300])
 def test_odd_letters(text):
     langid.Identifier([("en", "the cat"), ("de", "der hund")]).predict([text], langid.WordRows())
