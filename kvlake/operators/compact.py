@@ -54,17 +54,19 @@ def _range_of(bounds: list[tuple[str, int]], key: Column, version: Column) -> Co
     return halve(0, len(bounds))
 
 
-def block_stats(log: DataFrame, block_bytes: int = BLOCK_BYTES, ranges: int = 256) -> DataFrame:
+def block_stats(log: DataFrame, block_bytes: int = BLOCK_BYTES, most_ranges: int = 256, range_rows: int = 1_000_000) -> DataFrame:
     """Blocks of each shard by cumulative entry size in storage order: rows, first and last key, versions.
 
-    Two passes, so that no task runs through a whole shard: sizes by ranges of (key, version),
-    cut by a sample of about 32 rows each, are summed up; sums within a range start from there.
+    Two passes, so that no task runs through a whole shard: sizes by ranges of (key, version) of
+    about ``range_rows``, cut by a sample of about 32 rows each, are summed up; sums within a range
+    start from there. A log of one range is summed up at once.
     """
     size = F.lit(12) + entry_bytes(F.col("key"), F.col("value"))
     sized = log.withColumn("size", size.cast("bigint"))
     total = log.count()
+    ranges = min(most_ranges, max(1, total // range_rows))
     unit = F.pmod(F.xxhash64("key", "version"), F.lit(1 << 30))
-    sample = sorted((r.key, -r.version) for r in log.where(unit < F.lit(int(min(1.0, 32 * ranges / max(1, total)) * (1 << 30)))).select("key", "version").collect())
+    sample = sorted((r.key, -r.version) for r in log.where(unit < F.lit(int(min(1.0, 32 * ranges / max(1, total)) * (1 << 30)))).select("key", "version").collect()) if ranges > 1 else []
     bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}) if sample else []
     ranged = sized.withColumn("range", _range_of([(k, -v) for k, v in bounds], F.col("key"), F.col("version")))
     sums = ranged.groupBy("shard", "range").agg(F.sum("size").alias("held"))

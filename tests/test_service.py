@@ -202,7 +202,7 @@ def test_blocks_do_not_depend_on_ranges(spark, ranges):
         held[shard] = held.get(shard, 0) + 12 + len(k) + len(v)
         want.setdefault((shard, block), []).append((k, n))
     log = spark.createDataFrame(rows, "key string, value string, is_tombstone boolean, version bigint, seq bigint, shard int").repartition(3)
-    got = {(r.shard, r.block): (r.entries, r.first_key, r.last_key, r.min_version, r.max_version) for r in compact.block_stats(log, 100, ranges).collect()}
+    got = {(r.shard, r.block): (r.entries, r.first_key, r.last_key, r.min_version, r.max_version) for r in compact.block_stats(log, 100, ranges, 1).collect()}
     assert got == {b: (len(x), x[0][0], x[-1][0], min(n for _, n in x), max(n for _, n in x)) for b, x in want.items()}
 
 
