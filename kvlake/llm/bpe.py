@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kvlake.llm.common import Rolling, map_batches
+from kvlake.llm.common import Rolling, held_by, map_batches
 
 WINDOW, MASK = 16, np.uint64(0x3FF)
 LEAST_CHUNK, MOST_CHUNK = 128, 16_384
@@ -241,7 +241,7 @@ class ChunkCodec:
         return again
 
 
-_CODECS: dict[str, ChunkCodec] = {}
+_CODECS: dict[str, ChunkCodec] = held_by(__name__)
 
 
 def _codec(path: str) -> ChunkCodec:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kvlake.shipping import ship_package
 from kvlake.sources.shared import remove_folder, shared_folder
 
-__all__ = ["Rolling", "WordHashes", "batches", "crc_mod", "map_batches", "mix", "remove_folder", "shared_folder", "split_words", "stored", "table", "trim", "word_hashes"]
+__all__ = ["Rolling", "WordHashes", "batches", "crc_mod", "held_by", "let_go", "map_batches", "mix", "remove_folder", "shared_folder", "split_words", "stored", "table", "trim", "word_hashes"]
 
 MIX_A = np.uint64(0xFF51AFD7ED558CCD)
 MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
@@ -28,16 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trim() -> None:
     """Give freed memory back to the system: workers live on and run other stages."""
+    pa.default_memory_pool().release_unused()
     free = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if free is not None:
         free(0)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held_by(operator: str) -> dict:
+    """What a worker keeps from task to task of one operator (its module's name)."""
+    return _HELD.setdefault(operator, {})
+
+
+def let_go(operator: str) -> None:
+    """Drop what the worker keeps for other operators."""
+    for name, held in _HELD.items():
+        if name != operator:
+            held.clear()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package made available to the workers; batches come in slices of SLICE rows at most."""
     ship_package(df.sparkSession)
+    operator = fn.__module__
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(operator)
         try:
             yield from fn(part.slice(k, SLICE) for part in parts for k in range(0, part.num_rows, SLICE))
         finally:

@@ -496,12 +496,13 @@ def similar_components(docs: DataFrame, split: int = 20_000) -> DataFrame:
     keys = blobs.bucket_keys(spark, n)
     work, names = shared_folder(spark, "jaccard"), []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{work}/{name}")
+    def kept(df: DataFrame, name: str, files: int = max(8, n // 8)) -> DataFrame:
+        # rows of a few numbers: a bucket's are too little for a file (0: as they come)
+        (df.repartition(files) if files else df).write.parquet(f"{work}/{name}")
         names.append(name)
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
-    written = kept(map_batches(rows, _signs, SIGNS_DDL), "signs")
+    written = kept(map_batches(rows, _signs, SIGNS_DDL), "signs", 0)
     signs = written.where(F.col("n") >= 0)
     some = signs.where("n > 0 and doc_id is not null")
     classes = some.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), *[F.first(f"m{k}").alias(f"m{k}") for k in range(MINS)])

@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from kvlake.llm import bpe
+from kvlake.llm.common import let_go, map_batches
 
 DOCS = "doc_id bigint, text string, ids_sha256 string, n_tokens int"
 
@@ -114,3 +116,19 @@ def test_query_with_nulls_repeats_and_extra_columns(spark):
         assert got.decoded_sha256 == hashlib.sha256(shown.encode()).hexdigest()
     assert bpe.bpe_digests(spark.createDataFrame([], DOCS)).count() == 0
     assert bpe.bpe_encode(spark.createDataFrame(rows, DOCS)).count() == 5
+
+
+def test_workers_let_go_of_the_codec_for_other_operators(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(64)], "doc_id bigint, text string").repartition(8)
+
+    def held(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe._CODECS)] * part.num_rows, pa.int32())], names=["n"])
+
+    assert bpe.bpe_digests(docs).count() == 64
+    assert {r.n for r in map_batches(docs, held, "n int").collect()} == {0}
+    bpe._codec(bpe.tokenizer_path())
+    let_go("kvlake.llm.bpe")
+    assert bpe._CODECS
+    let_go("kvlake.llm.jaccard")
+    assert not bpe._CODECS

@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -107,3 +108,29 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert all(got[k] == 100 for k in range(100, 161)) and all(got[k] == 5 for k in [5, 7, *range(200, 301)]) and 9 not in got
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_few_links_and_many_give_the_same_components(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(k + 1, k) for k in range(1000, 1040)] + [(None, 3), (2**62, 1)]
+    table = spark.createDataFrame(links, "u bigint, v bigint")
+    one = sorted(map(tuple, components(table).collect()))
+    assert one == sorted(map(tuple, components(table, few=0).collect())) and one
+
+
+def test_small_tables_are_not_written_bucket_by_bucket(spark):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    folders = lambda kind: set(glob.glob(f"{base}/kvlake-{kind}-*"))
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*words[: k % 3], f"x{k % 200}", *words]), 0, "") for k in range(3000)]
+    jaccard_before, links_before = folders("jaccard"), folders("links")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = jaccard.similar_components(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len(got) == 3000 and {r.component_id for r in got} == {0}
+    assert not folders("links") - links_before
+    (work,) = folders("jaccard") - jaccard_before
+    assert 1 <= len(glob.glob(f"{work}/members/part-*")) <= 8
